@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secrets
+from . import quality, secrets
 from .common import quoted, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,8 +40,13 @@ per_doc AS (SELECT k, {counts},
 SELECT doc_id, {zero}, sha256(coalesce(own, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN per_doc USING (k)"""
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_secret_scan": op1_secret_scan}
+    return {f.__name__: f for f in (op1_secret_scan, op2_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
