@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, secrets
-from .common import quoted, read_table
+from . import mixing, quality, secrets
+from .common import Scratch, quoted, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,8 +45,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(read_table(spark, sf_dir, "documents"), Scratch(spark, "op10"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_quality_rules)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
