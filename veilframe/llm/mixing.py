@@ -90,7 +90,7 @@ def measure(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
-def mix(measured: DataFrame, scratch: Scratch, seed: int = 7, shard_rows: int = 20_000, blocks_per_source: int = 2_000) -> DataFrame:
+def mix(measured: DataFrame, scratch: Scratch, seed: int = 7, shard_rows: int = 4096, most_shards: int = 200_000, blocks_per_source: int = 2_000) -> DataFrame:
     """``measured``: rows of doc_id, source, size, print (and others, which are kept), in a written table.
 
     Adds source_size, target, taken, and where the window lies: ``start`` and ``stop`` of the document in its shard, the
@@ -100,6 +100,7 @@ def mix(measured: DataFrame, scratch: Scratch, seed: int = 7, shard_rows: int =
     per_source = measured.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
     known = {r["source"]: (r["words"] or 0, r["n"]) for r in per_source.collect()}  # one row per source
     sizes = {s: w for s, (w, _) in known.items()}
+    shard_rows = max(shard_rows, -(-sum(n for _, n in known.values()) // most_shards))
     target = targets(sizes)
     by_source = spark.createDataFrame(
         [(s, -(-n // shard_rows), sizes[s], target[s]) for s, (_, n) in known.items()],
