@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, secrets
+from . import mixing, packing, quality, secrets, sstable
 from .common import Scratch, quoted, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,12 +45,29 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
+def tokenizer_path(name: str) -> str:
+    from public_tokenizers import path
+
+    return path(name)
+
+
+def op4_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return sstable.read_shards(sstable.write_shards(docs, Scratch(spark, "op4"), tokenizer_path("byte_bpe_50k.json"), end_id=2))
+
+
+def op6_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "op6")
+    items = scratch.save(packing.pieces(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=0), "pieces")
+    return packing.pack(items, scratch)
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(read_table(spark, sf_dir, "documents"), Scratch(spark, "op10"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op10_source_mix)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op4_token_sstable, op6_residual_packing, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
