@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, media, mixing, packing, quality, secrets, sstable
+from . import language, media, mixing, packing, quality, secrets, sstable, toxicity
 from .common import Scratch, quoted, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,11 @@ def op4_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(sstable.write_shards(docs, Scratch(spark, "op4"), tokenizer_path("byte_bpe_50k.json"), end_id=2))
 
 
+def op5_toxicity_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op6_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op6")
     items = scratch.save(packing.pieces(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=0), "pieces")
@@ -76,7 +81,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op4_token_sstable, op6_residual_packing, op8_language_filters, op9_media_sequences, op10_source_mix)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op4_token_sstable, op5_toxicity_models, op6_residual_packing, op8_language_filters, op9_media_sequences, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
