@@ -1,7 +1,7 @@
 """Token ids of whole texts by the tokenizers library, remembering the ids of pre-tokens.
 
 Byte-level BPE works inside pre-tokens, and most pre-tokens recur, so each worker asks the library once for each pre-token and
-keeps the answer (the memory is emptied when it holds ``KEEP`` entries). Texts are split by the tokenizer's published pattern
+keeps the answer (two generations of at most ``KEEP`` entries: what is met again moves to the new one). Texts are split by the tokenizer's published pattern
 only where every character is one whose class is the same in all Unicode versions; any other text goes to the library whole.
 """
 
@@ -16,7 +16,7 @@ from array import array
 _L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 #: Anything but plain white space, printable ASCII and Latin; U+0130 changes its length in lower case.
 _OTHER = re.compile("[^\\t\\n\\r\\x20-\\x7e¡-įı-ɏ]")
-KEEP = 300_000
+KEEP = 600_000
 
 
 class Encoder:
@@ -46,6 +46,7 @@ class Encoder:
 
             self.piece.normalizer = normalizers.Sequence([])
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode_whole(self, text: str) -> bytes:
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
@@ -58,8 +59,12 @@ class Encoder:
         new = list(set(pieces).difference(known))
         if new:
             if len(known) > KEEP:
-                known.clear()
-                new = list(set(pieces))
+                self.old, self.known = known, {}
+                known, new = self.known, list(set(pieces))
+            if self.old:
+                old = self.old
+                known.update((p, old[p]) for p in new if p in old)
+                new = [p for p in new if p not in old]
             for piece, found in zip(new, self.piece.encode_batch_fast(new, add_special_tokens=False)):
                 known[piece] = array("I", found.ids).tobytes()
         return b"".join(map(known.__getitem__, pieces))
