@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, media, mixing, packing, quality, secrets, sstable, toxicity
+from . import language, media, mixing, packing, pii, quality, secrets, sstable, toxicity
 from .common import Scratch, quoted, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,10 @@ def op6_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(items, scratch)
 
 
+def op7_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read_table(spark, sf_dir, "documents"), pii.train(spark))
+
+
 def op8_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return language.identify(docs, language.learn(docs))
@@ -81,7 +85,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op4_token_sstable, op5_toxicity_models, op6_residual_packing, op8_language_filters, op9_media_sequences, op10_source_mix)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op4_token_sstable, op5_toxicity_models, op6_residual_packing, op7_pii_boosting, op8_language_filters, op9_media_sequences, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
