@@ -16,6 +16,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -203,8 +204,6 @@ def judge(docs: DataFrame, forest: Forest | None) -> DataFrame:
 
 def keep_good(docs: DataFrame, forest: Forest | None) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
-    import pandas as pd
-
     @pandas_udf("boolean")
     def kept(texts: pd.Series) -> pd.Series:
         return pd.Series(_judge(forest, [t if isinstance(t, str) else None for t in texts])[2], dtype=bool)

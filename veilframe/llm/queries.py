@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, media, mixing, packing, pii, quality, secrets, sstable, toxicity
+from . import jaccard, language, media, mixing, packing, pii, quality, secrets, sstable, toxicity
 from .common import Scratch, quoted, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op3_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(read_table(spark, sf_dir, "documents"), Scratch(spark, "op3"))
+
+
 def tokenizer_path(name: str) -> str:
     from public_tokenizers import path
 
@@ -84,8 +88,14 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(read_table(spark, sf_dir, "documents"), Scratch(spark, "op10"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op4_token_sstable, op5_toxicity_models, op6_residual_packing, op7_pii_boosting, op8_language_filters, op9_media_sequences, op10_source_mix)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_jaccard_components, op4_token_sstable, op5_toxicity_models, op6_residual_packing, op7_pii_boosting, op8_language_filters, op9_media_sequences, op10_source_mix, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
