@@ -2,7 +2,7 @@
 
 Documents are classes of equal shingle sets (5 words, A-Z lower-cased); two classes link when 100 * intersection >= 80 * union.
 
-1. Each class has a bitmap of BITS bits over its shingles and a prefix: its n - ceil(0.8 n) + 1 first shingles in one global
+1. Each class has a bitmap over its shingles, wider for larger sets, and a prefix: its n - ceil(0.8 n) + 1 first shingles in one global
    order. Two classes that link share a prefix shingle, whatever the order is. Shingles that are common in a bounded sample of
    documents come last in it, so passages that many documents share seldom make classes meet; the sample decides cost, not results.
 2. Prefix entries are dealt by shingle; those that meet no other class are dropped.
@@ -35,7 +35,8 @@ from .common import Scratch, batch, ids_and_texts, in_slices, spark_schema
 WIDTH = 5
 #: Similarity as a fraction: 4 / 5.
 NUM, DEN = 4, 5
-BITS = 2048
+#: Least bits of a bitmap; a larger set has the power of two of at least four times its size.
+LEAST_BITS = 1024
 BLOCK = 1024
 LEAF = 8
 
@@ -81,9 +82,19 @@ def class_of(shingles: np.ndarray) -> int:
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, dtype=bool)
-    bits[(shingles % np.uint64(BITS)).astype(np.int64)] = True
-    return np.packbits(bits).tobytes()
+    width = max(LEAST_BITS, 1 << (4 * len(shingles) - 1).bit_length())
+    bits = np.zeros(width, dtype=bool)
+    bits[(shingles & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def folded(bitmaps: list[bytes], width: int) -> np.ndarray:
+    """Bitmaps as rows of ``width`` bits: wider ones are halved, ORing the halves, which is the bitmap of that width."""
+    out = np.zeros((len(bitmaps), width // 64), dtype=np.uint64)
+    for i, b in enumerate(bitmaps):
+        words = np.frombuffer(b, dtype=np.uint64)
+        out[i] = words if len(words) == width // 64 else np.bitwise_or.reduce(words.reshape(-1, width // 64), axis=0)
+    return out
 
 
 def prefix_length(n: int) -> int:
@@ -106,7 +117,7 @@ class SignatureTree:
     """Levels of nodes over classes ordered by size, then bitmap; level 0 holds the classes themselves."""
 
     def __init__(self, sizes: np.ndarray, bits: np.ndarray, parts: np.ndarray) -> None:
-        """bits: classes x BITS / 64 of uint64; parts: component of each class."""
+        """bits: classes x words of uint64; parts: component of each class."""
         self.order = np.lexsort((bits[:, 0], sizes))
         n, b, p = sizes[self.order], bits[self.order], parts[self.order]
         self.levels = [(n, n, b, b, p)]  # least and greatest size, OR, AND, component or 0 with the flag below
@@ -292,47 +303,70 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             return edges.select(F.col("u").alias("cls"), F.col("v").alias("comp"))
 
 
-def tree_pairs(members: DataFrame) -> DataFrame:
-    """``members``: key, bi, bj, blk, cls, comp, n, bits, sorted within partitions by key, bi, bj. Pairs (a, b) that may link."""
-
-    def flush(run) -> tuple[list, list]:
-        blk, cls, comp, n, bits = run
-        out_a, out_b = [], []
-        if len(cls) > 1:
-            # classes of one size range and component are told apart by position only
-            _, part = np.unique(comp, return_inverse=True)
-            bits = np.frombuffer(b"".join(bits), dtype=np.uint64).reshape(len(cls), BITS // 64)
-            blocks = np.unique(blk)
-            trees = [(at, SignatureTree(n[at], bits[at], part[at])) for at in (np.flatnonzero(blk == x) for x in blocks)]
-            one, two = trees[0], trees[-1]
-            i, j = one[1].pairs(two[1])
-            a, b = cls[one[0][i]], cls[two[0][j]]
-            out_a, out_b = np.minimum(a, b), np.maximum(a, b)
-        return out_a, out_b
+def leaf_pairs(members: DataFrame) -> DataFrame:
+    """``members``: key, cls, comp, n of shingles with at most LEAF classes, each key in one partition, in order. The pairs
+    (a, b) that sizes and components allow: a whole tree of one leaf."""
+
+    def pairs(key, cls, comp, n):
+        out = []
+        for k in range(1, LEAF):
+            if len(key) <= k:
+                break
+            ok = (key[k:] == key[:-k]) & (comp[k:] != comp[:-k])
+            ok &= (DEN * n[k:] >= NUM * n[:-k]) & (DEN * n[:-k] >= NUM * n[k:])
+            at = np.flatnonzero(ok)
+            out.append(np.stack([np.minimum(cls[at], cls[at + k]), np.maximum(cls[at], cls[at + k])], axis=1))
+        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), dtype=np.int64)
 
     def run(batches):
-        key, held = None, []
-        found: set[tuple[int, int]] = set()
+        rest = None
+        for b in batches:
+            columns = [b.column(c).to_numpy() for c in ("key", "cls", "comp", "n")]
+            if rest is not None:
+                columns = [np.concatenate(x) for x in zip(rest, columns)]
+            whole = columns[0] != columns[0][-1]  # the last key may go on in the next batch
+            rest = [c[~whole] for c in columns]
+            found = pairs(*(c[whole] for c in columns))
+            yield batch(LINKS, a=found[:, 0], b=found[:, 1])
+        if rest is not None:
+            found = pairs(*rest)
+            yield batch(LINKS, a=found[:, 0], b=found[:, 1])
+
+    return members.mapInArrow(run, spark_schema(LINKS))
 
-        def emit():
-            if found:
-                pairs = sorted(found)
-                found.clear()
-                yield batch(LINKS, a=[p[0] for p in pairs], b=[p[1] for p in pairs])
+
+def tree_pairs(members: DataFrame) -> DataFrame:
+    """``members``: key, bi, bj, blk, cls, comp, n, bits, in order of key, bi, bj. Pairs (a, b) that may link."""
+
+    def traverse(blk, cls, comp, n, bits, found: set[tuple[int, int]]) -> None:
+        _, part = np.unique(comp, return_inverse=True)
+        width = np.array([8 * len(x) for x in bits])
+        for w in np.unique(width).tolist():  # sets that link differ at most by one width
+            own = np.flatnonzero((width == w) | (width == 2 * w))
+            rows = folded([bits[i] for i in own], w)
+            trees = []
+            for x in np.unique(blk):
+                at = np.flatnonzero(blk[own] == x)
+                if len(at):
+                    trees.append((own[at], SignatureTree(n[own][at], rows[at], part[own][at])))
+            if len(trees) == 1 and blk.min() != blk.max():
+                continue
+            i, j = trees[0][1].pairs(trees[-1][1])
+            a, b = cls[trees[0][0][i]], cls[trees[-1][0][j]]
+            found.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
+
+    def run(batches):
+        key, held, found = None, [], set()
 
         def close():
-            if held:
-                blk, cls, comp, n = (np.concatenate([h[k] for h in held]) for k in range(4))
-                bits = [x for h in held for x in h[4]]
-                a, b = flush((blk, cls, comp, n, bits))
-                found.update(zip(map(int, a), map(int, b)))
-                held.clear()
+            if held and sum(len(h[1]) for h in held) > 1:
+                traverse(*(np.concatenate([h[k] for h in held]) for k in range(4)), [x for h in held for x in h[4]], found)
+            held.clear()
 
         for b in batches:
             keys = list(zip(*(b.column(c).to_pylist() for c in ("key", "bi", "bj"))))
-            blk, cls, comp, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("blk", "cls", "comp", "n"))
-            bits = b.column("bits").to_pylist()
-            at = 0
+            columns = [b.column(c).to_numpy() for c in ("blk", "cls", "comp", "n")]
+            bits, at = b.column("bits").to_pylist(), 0
             while at < len(keys):
                 end = at
                 while end < len(keys) and keys[end] == keys[at]:
@@ -340,12 +374,14 @@ def tree_pairs(members: DataFrame) -> DataFrame:
                 if keys[at] != key:
                     close()
                     key = keys[at]
-                held.append((blk[at:end], cls[at:end], comp[at:end], n[at:end], bits[at:end]))
+                held.append((*(c[at:end] for c in columns), bits[at:end]))
                 at = end
             if len(found) > 50_000:
-                yield from emit()
+                yield batch(LINKS, a=[p[0] for p in found], b=[p[1] for p in found])
+                found.clear()
         close()
-        yield from emit()
+        if found:
+            yield batch(LINKS, a=[p[0] for p in found], b=[p[1] for p in found])
 
     return members.mapInArrow(run, spark_schema(LINKS))
 
@@ -379,13 +415,14 @@ def join(docs: DataFrame, scratch: Scratch) -> DataFrame:
     # signature trees over what is left
     parted = live.join(comp, "cls", "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
     mixed = parted.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("key", "m")
-    members = parted.join(mixed, "key").join(info, "cls")
+    members = parted.join(mixed, "key").join(info.select("cls", "n"), "cls")
+    leaves = members.where(F.col("m") <= LEAF).select("key", "cls", "comp", "n").repartition("key").sortWithinPartitions("key")
+    from_leaves = plausible(scratch.save(leaf_pairs(leaves).distinct(), "leaf-pairs"), info)
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    small = members.where(F.col("m") <= BLOCK).select("key", F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.lit(0).alias("blk"), "cls", "comp", "n", "bits")
-    large = members.where(F.col("m") > BLOCK).withColumn("blk", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    large = large.select("key", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "cls", "comp", "n", "bits")
-    grouped = small.unionAll(large).repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    candidates = scratch.save(tree_pairs(grouped).distinct(), "candidates")
+    larger = members.where(F.col("m") > LEAF).withColumn("blk", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    larger = larger.select("key", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "cls", "comp", "n")
+    grouped = larger.join(info.select("cls", "bits"), "cls").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+    candidates = scratch.save(from_leaves.unionAll(tree_pairs(grouped)).distinct(), "candidates")
     links = verified(candidates, docs, named, scratch, "links").unionAll(star_links)
     comp = scratch.save(components(links, scratch, "c2"), "comp2")
 
@@ -402,10 +439,15 @@ def plausible(pairs: DataFrame, info: DataFrame) -> DataFrame:
     """Pairs (a, b) that sizes and bitmaps do not exclude; ``info``: cls, n, bits."""
 
     def run(batches):
-        for b in batches:
+        for b in in_slices(batches, 2048):
             n, m = (b.column(c).to_numpy() for c in ("na", "nb"))
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint64).reshape(len(n), BITS // 64) for c in ("xa", "xb"))
-            most = np.minimum(n - popcount(x & ~y), m - popcount(y & ~x))
+            most = np.minimum(n, m)
+            xs, ys = b.column("xa").to_pylist(), b.column("xb").to_pylist()
+            widths = np.array([8 * min(len(x), len(y)) for x, y in zip(xs, ys)])
+            for w in np.unique(widths).tolist():
+                at = np.flatnonzero(widths == w)
+                x, y = (folded([z[i] for i in at], w) for z in (xs, ys))
+                most[at] = np.minimum(n[at] - popcount(x & ~y), m[at] - popcount(y & ~x))
             yield b.select(["a", "b"]).filter(pa.array(most >= least_overlap(n + m)))
 
     left = info.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
