@@ -37,6 +37,8 @@ WIDTH = 5
 NUM, DEN = 4, 5
 #: Least bits of a bitmap; a larger set has the power of two of at least four times its size.
 LEAST_BITS = 1024
+#: Most bits of a bitmap in the nodes of a tree; pairs that leave a tree are compared by their whole bitmaps.
+MOST_BITS = 2048
 BLOCK = 1024
 LEAF = 8
 
@@ -97,6 +99,11 @@ def folded(bitmaps: list[bytes], width: int) -> np.ndarray:
     return out
 
 
+def signature(wide: bytes) -> bytes:
+    """A bitmap as the trees hold it: of at most MOST_BITS bits."""
+    return wide if len(wide) * 8 <= MOST_BITS else folded([wide], MOST_BITS).tobytes()
+
+
 def prefix_length(n: int) -> int:
     return n - -(-NUM * n // DEN) + 1
 
@@ -184,7 +191,7 @@ class SignatureTree:
 
 # ---- classes and prefixes ------------------------------------------------------------------------------------------------
 
-SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("bits", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("bits", pa.binary()), ("sign", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
 
 def common_shingles(docs: DataFrame, sample_docs: int = 4_000, at_least: int = 4, most: int = 100_000) -> np.ndarray:
@@ -221,12 +228,15 @@ def shingle_sets(docs: DataFrame, common: np.ndarray) -> DataFrame:
                 first = cls is not None and cls not in met
                 if first:
                     met.add(cls)
+                    wide = bitmap(s)
                     last = np.zeros(len(s), dtype=bool)
                     if len(common):
                         last = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
                     # rare ones by hash, then common ones by hash
                     prefix = np.concatenate([s[~last], s[last]])[: prefix_length(len(s))].view(np.int64)
-                for name, value in zip(SETS.names, (doc_id, len(s), cls, bitmap(s) if first else None, prefix if first else None)):
+                else:
+                    wide = None
+                for name, value in zip(SETS.names, (doc_id, len(s), cls, wide, signature(wide) if first else None, prefix if first else None)):
                     rows[name].append(value)
             yield batch(SETS, **rows)
 
@@ -397,13 +407,16 @@ def join(docs: DataFrame, scratch: Scratch) -> DataFrame:
     met = met.where("(before IS NULL OR before <> cls) AND (before IS NOT NULL OR after IS NOT NULL)")
     # a class that meets only its own copies in other blocks goes with the next step
     live = scratch.save(met.select("key", "cls"), "live0")
+    sets_only = scratch.save(sets.drop("prefix"), "sets-only")
+    scratch.drop("sets")
+    sets = sets_only
     many = live.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     live = scratch.save(live.join(many, "key"), "live")
     scratch.drop("live0")
 
     named = sets.where("cls IS NOT NULL").groupBy("cls").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("rep"))
     central = scratch.save(live.groupBy("cls").agg(F.sum("m").alias("degree")), "central")
-    info = scratch.save(sets.where("bits IS NOT NULL").join(central.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.max("n").alias("n"), F.max("bits").alias("bits")), "info")
+    info = scratch.save(sets.where("bits IS NOT NULL").join(central.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.max("n").alias("n"), F.max("bits").alias("bits"), F.max("sign").alias("sign")), "info")
 
     # star round
     ranked = live.join(central, "cls").select("key", "cls", F.struct("degree", "cls").alias("r"))
@@ -417,12 +430,13 @@ def join(docs: DataFrame, scratch: Scratch) -> DataFrame:
     mixed = parted.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("key", "m")
     members = parted.join(mixed, "key").join(info.select("cls", "n"), "cls")
     leaves = members.where(F.col("m") <= LEAF).select("key", "cls", "comp", "n").repartition("key").sortWithinPartitions("key")
-    from_leaves = plausible(scratch.save(leaf_pairs(leaves).distinct(), "leaf-pairs"), info)
+    from_leaves = scratch.save(leaf_pairs(leaves).distinct(), "leaf-pairs")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     larger = members.where(F.col("m") > LEAF).withColumn("blk", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     larger = larger.select("key", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "cls", "comp", "n")
-    grouped = larger.join(info.select("cls", "bits"), "cls").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    candidates = scratch.save(from_leaves.unionAll(tree_pairs(grouped)).distinct(), "candidates")
+    grouped = larger.join(info.select("cls", F.col("sign").alias("bits")), "cls").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+    from_trees = scratch.save(tree_pairs(grouped).distinct(), "tree-pairs")
+    candidates = scratch.save(plausible(from_leaves.unionAll(from_trees).distinct(), info), "candidates")
     links = verified(candidates, docs, named, scratch, "links").unionAll(star_links)
     comp = scratch.save(components(links, scratch, "c2"), "comp2")
 
