@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import detection, labelling, requests  # noqa: F401
+from . import detection, labelling, media, requests  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
