@@ -83,6 +83,18 @@ def spark_schema(schema: pa.Schema) -> str:
     return from_arrow_schema(schema)
 
 
+_held: dict[str, object] = {}
+
+
+def only(name: str, make):
+    """What a worker keeps between tasks, made at first use. It keeps one thing at a time: a worker that goes on to another
+    operator's tasks lets go of the last one's memory."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
 def in_slices(batches, rows: int = 512):
     """Arrow batches cut to a few rows, so that what is derived from long texts stays small."""
     for b in batches:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch, ids_and_texts, in_slices, spark_schema
+from .common import Scratch, batch, ids_and_texts, in_slices, only, spark_schema
 
 WIDTH = 5
 #: Similarity as a fraction: 4 / 5.
@@ -203,7 +203,7 @@ def common_shingles(docs: DataFrame, sample_docs: int = 4_000, at_least: int = 4
     out = pa.schema([("shingle", pa.int64())])
 
     def run(batches):
-        shingler = Shingler()
+        shingler = only("shingler", Shingler)
         for b in in_slices(batches):
             for t in b.column("text").to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingler(t).view(np.int64))], schema=out)
@@ -218,7 +218,7 @@ def shingle_sets(docs: DataFrame, common: np.ndarray) -> DataFrame:
     the class first."""
 
     def run(batches):
-        shingler = Shingler()
+        shingler = only("shingler", Shingler)
         for b in in_slices(batches):
             rows: dict[str, list] = {f: [] for f in SETS.names}
             met: set[int] = set()
@@ -250,7 +250,7 @@ def payloads(docs: DataFrame, representatives: DataFrame) -> DataFrame:
     """The whole sets of classes; ``representatives``: cls, rep (an id whose rows include the class's text)."""
 
     def run(batches):
-        shingler = Shingler()
+        shingler = only("shingler", Shingler)
         for b in in_slices(batches):
             rows = []
             for cls, text in zip(b.column("cls").to_pylist(), b.column("text").to_pylist()):

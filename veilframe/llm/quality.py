@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from .common import SPACES, batch, ids_and_texts, in_slices, spark_schema
+from .common import SPACES, batch, ids_and_texts, in_slices, only, spark_schema
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -183,6 +183,7 @@ OUT = pa.schema([("doc_id", pa.int64()), *((s, pa.int64()) for s in STATS), ("ba
 
 
 def _judge(forest: Forest | None, texts: list[str | None]) -> tuple[list[tuple[int, ...]], list[bool], list[bool], list[float]]:
+    only("quality", dict)
     found = [statistics(t) for t in texts]
     failed = [base_failed(s) for s, _ in found]
     x = np.array([f for _, f in found], dtype=float).reshape(len(found), len(FEATURES))

@@ -12,6 +12,8 @@ import os
 import re
 from array import array
 
+from .common import only
+
 #: Latin letters and numerals as the published patterns' \p{L} and \p{N} have them below U+0250.
 _L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 #: Anything but plain white space, printable ASCII and Latin; U+0130 changes its length in lower case.
@@ -70,11 +72,6 @@ class Encoder:
         return b"".join(map(known.__getitem__, pieces))
 
 
-_made: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One encoder a worker."""
-    if path not in _made:
-        _made[path] = Encoder(path)
-    return _made[path]
+    return only(f"encoder {path}", lambda: Encoder(path))
