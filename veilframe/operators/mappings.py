@@ -9,8 +9,10 @@ from ..functions import spans as S
 
 #: Values that may stay in a text.
 WHITELIST = ("CLAUDE", "CLAUDE CODE", "CLAUDE COWORK", "ANTHROPIC")
-#: Up to so many values are sent to every task; beyond it the join shuffles by words.
+#: Up to so many values are sent to every task at once.
 BROADCAST_VALUES = 50_000
+#: Up to so many values are joined by containment.
+BY_JOIN = 64
 
 
 def assign(found: DataFrame, order: list[str], scope: list[str] | None = None, allow_tokens: bool = False) -> DataFrame:
@@ -77,27 +79,62 @@ def put_back(text: Column, values: Column) -> Column:
     return F.array_join(parts, "")
 
 
-def known_values(rows: DataFrame, known: DataFrame, key: str, earlier_than: str | None = None) -> DataFrame:
-    """``rows``: key, text. A row for each place where a known value occurs in a text, in any case: key column, key, type, occurrence.
+def known_values(rows: DataFrame, known: DataFrame, key: str, earlier_than: str | None = None, by_join: int = BY_JOIN) -> DataFrame:
+    """``rows``: key, text. A row for each place where a known value occurs in a text, in any case, from the left and without
+    overlap with itself: key column, key, type, occurrence (from 1). With ``earlier_than`` (the key column) a value counts
+    only where it was first seen before.
 
-    Values are matched by containment, so the values' side is broadcast, after its size is checked; a larger one is dealt in
-    slices, each broadcast in turn. With ``earlier_than`` a value counts only where it was first seen before that column.
+    Up to ``by_join`` values meet the texts in a broadcast join by containment. More are searched at once, in one pass over each
+    text, by an automaton built in each task from a broadcast list of checked size; beyond BROADCAST_VALUES, in slices.
     """
     values = known.where("length(key) > 0").select("key", "type", "first_seen")
     n = values.count()
-    slices = max(1, -(-n // BROADCAST_VALUES))
-    out = None
-    for i in range(slices):
-        part = values if slices == 1 else values.where(F.pmod(F.xxhash64("key"), F.lit(slices)) == i)
-        own = part.withColumnsRenamed({"key": "__key", "type": "__type", "first_seen": "__seen"})
-        near = F.contains(F.upper("text"), F.col("__key"))
-        if earlier_than:
-            near = near & (F.col("__seen") < F.col(earlier_than))
-        hits = rows.join(F.broadcast(own), near)
-        out = hits if out is None else out.unionAll(hits)
-    # occurrences are the gaps between them, less one; the value is quoted as a pattern
-    places = F.expr("sequence(1, size(split(upper(text), concat('\\\\Q', __key, '\\\\E'), -1)) - 1)")
-    return out.select(F.col(key), F.col("__key").alias("key"), F.col("__type").alias("type"), F.explode(places).alias("occurrence"))
+    upper = rows.select(F.col(key).alias("__id"), F.upper("text").alias("__up"))
+    if n <= by_join:
+        hits = upper.join(F.broadcast(values), F.contains("__up", F.col("key")))
+        # occurrences are the gaps between them, less one; the value is quoted as a pattern
+        places = F.expr("sequence(1, size(split(__up, concat('\\\\Q', key, '\\\\E'), -1)) - 1)")
+        found = hits.select("__id", "key", "type", "first_seen", F.explode(places).alias("occurrence"))
+    else:
+        slices = -(-n // BROADCAST_VALUES)
+        parts = [values.where(F.pmod(F.xxhash64("key"), F.lit(slices)) == i) for i in range(slices)] if slices > 1 else [values]
+        each = [_searched(upper, part) for part in parts]
+        found = each[0]
+        for more in each[1:]:
+            found = found.unionAll(more)
+        found = found.join(values, "key")
+    if earlier_than:
+        found = found.where(F.col("first_seen") < F.col("__id"))
+    return found.select(F.col("__id").alias(key), "key", "type", "occurrence")
+
+
+def _searched(upper: DataFrame, values: DataFrame) -> DataFrame:
+    """All places of the values (at most BROADCAST_VALUES) in ``__up``: __id, key, occurrence."""
+    words = [r["key"] for r in values.select("key").collect()]
+    schema = upper.select("__id").schema.add("key", "string").add("occurrence", "integer")
+
+    def run(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        automaton = ahocorasick.Automaton()
+        for i, w in enumerate(words):
+            automaton.add_word(w, i)
+        automaton.make_automaton()
+        for b in batches:
+            at, keys, numbers = [], [], []
+            for k, text in enumerate(b.column("__up").to_pylist()):
+                last: dict[int, tuple[int, int]] = {}
+                for end, i in automaton.iter(text or ""):
+                    until, n = last.get(i, (-1, 0))
+                    if end - len(words[i]) >= until:
+                        last[i] = (end, n + 1)
+                        at.append(k)
+                        keys.append(words[i])
+                        numbers.append(n + 1)
+            yield pa.RecordBatch.from_arrays([b.column("__id").take(pa.array(at, pa.int64())), pa.array(keys, pa.string()), pa.array(numbers, pa.int32())], names=["__id", "key", "occurrence"])
+
+    return upper.mapInArrow(run, schema)
 
 
 def leaks(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
