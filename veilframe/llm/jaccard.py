@@ -194,9 +194,9 @@ class SignatureTree:
 SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("bits", pa.binary()), ("sign", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
 
-def common_shingles(docs: DataFrame, sample_docs: int = 4_000, at_least: int = 4, most: int = 100_000) -> np.ndarray:
-    """Shingles of at least ``at_least`` documents of a sample of about ``sample_docs``, at most ``most`` of them. They only
-    order the prefixes, so neither bound changes any result."""
+def common_shingles(docs: DataFrame, sample_docs: int = 40_000, at_least: int = 2, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of at least ``at_least`` documents of a sample of about ``sample_docs``, the ``most`` most frequent of them:
+    their hashes, ascending, and how many documents have each. They only order the prefixes, so no bound changes any result."""
     light = ids_and_texts(docs)
     total = light.select("doc_id").count()
     sample = light.sample(min(1.0, sample_docs / total), seed=3) if total else light
@@ -209,14 +209,18 @@ def common_shingles(docs: DataFrame, sample_docs: int = 4_000, at_least: int = 4
                 yield pa.RecordBatch.from_arrays([pa.array(shingler(t).view(np.int64))], schema=out)
 
     counts = sample.mapInArrow(run, spark_schema(out)).groupBy("shingle").count().where(F.col("count") >= at_least)
-    found = counts.orderBy(F.desc("count"), "shingle").limit(most).select("shingle").toPandas()["shingle"].to_numpy(dtype=np.int64)
-    return np.sort(found.view(np.uint64))
+    found = counts.orderBy(F.desc("count"), "shingle").limit(most).toPandas()
+    shingles, n = found["shingle"].to_numpy(dtype=np.int64).view(np.uint64), found["count"].to_numpy(dtype=np.int64)
+    order = np.argsort(shingles)
+    return shingles[order], n[order]
 
 
-def shingle_sets(docs: DataFrame, common: np.ndarray) -> DataFrame:
+def shingle_sets(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """A row for each row of ``docs``: doc_id, n, its class (null without words), and bitmap and prefix where the block meets
     the class first."""
 
+    known, often = common
+
     def run(batches):
         shingler = only("shingler", Shingler)
         for b in in_slices(batches):
@@ -229,11 +233,12 @@ def shingle_sets(docs: DataFrame, common: np.ndarray) -> DataFrame:
                 if first:
                     met.add(cls)
                     wide = bitmap(s)
-                    last = np.zeros(len(s), dtype=bool)
-                    if len(common):
-                        last = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
-                    # rare ones by hash, then common ones by hash
-                    prefix = np.concatenate([s[~last], s[last]])[: prefix_length(len(s))].view(np.int64)
+                    prefix = s
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                        # rare ones first, then by how common they are, each by hash
+                        prefix = s[np.argsort(np.where(known[at] == s, often[at], 0), kind="stable")]
+                    prefix = prefix[: prefix_length(len(s))].view(np.int64)
                 else:
                     wide = None
                 for name, value in zip(SETS.names, (doc_id, len(s), cls, wide, signature(wide) if first else None, prefix if first else None)):
