@@ -11,6 +11,7 @@ from pyspark.sql.pandas.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from ..functions import text as T
+from .ranks import numbered
 
 ENTITY = "STRUCT<text: STRING, type: STRING>"
 VERDICT = f"STRUCT<correct: BOOLEAN, false_positives: ARRAY<STRING>, missed_entities: ARRAY<{ENTITY}>, confidence: STRING>"
@@ -109,7 +110,6 @@ def up_to_limit(rows: DataFrame, order: str, score: str, limit: int, most: int =
 
 
 def ordered_split(rows: DataFrame, order: str, share: float = 0.8) -> DataFrame:
-    """Adds ``part``: train for the first int(n * share) rows by order, test for the rest. Ranks come from range partitions."""
-    n = rows.count()
-    ranked = rows.withColumn("__rank", F.row_number().over(Window.orderBy(order)))
-    return ranked.withColumn("part", F.when(F.col("__rank") <= int(n * share), "train").otherwise("test")).drop("__rank")
+    """Adds ``part``: train for the first int(n * share) rows by the number ``order``, test for the rest."""
+    ranked = numbered(rows, order, [order], "__rank")
+    return ranked.withColumn("part", F.when(F.col("__rank") <= int(rows.count() * share), "train").otherwise("test")).drop("__rank")
