@@ -16,7 +16,20 @@ SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Most bytes of an Arrow batch between the JVM and a worker; rows here hold whole texts and sets.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the memory of batches in the session, unless it has a lower bound already."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(re.sub(r"[^0-9-]", "", spark.conf.get(name)) or 0)
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -39,6 +52,7 @@ class Scratch:
     """Tables written to a folder of its own under the shared root, which cut lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession, purpose: str) -> None:
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_root(spark)}/{purpose}-{uuid.uuid4().hex}"
 

@@ -18,7 +18,7 @@ from .common import only
 _L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 #: Anything but plain white space, printable ASCII and Latin; U+0130 changes its length in lower case.
 _OTHER = re.compile("[^\\t\\n\\r\\x20-\\x7e¡-įı-ɏ]")
-KEEP = 600_000
+KEEP = 400_000
 
 
 class Encoder:
