@@ -194,9 +194,9 @@ class SignatureTree:
 SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("bits", pa.binary()), ("sign", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
 
-def common_shingles(docs: DataFrame, sample_docs: int = 40_000, at_least: int = 2, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of at least ``at_least`` documents of a sample of about ``sample_docs``, the ``most`` most frequent of them:
-    their hashes, ascending, and how many documents have each. They only order the prefixes, so no bound changes any result."""
+def common_shingles(docs: DataFrame, scratch: Scratch, sample_docs: int = 20_000, most: int = 150_000) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles, at most ``most`` and of at least two documents, of a sample of about ``sample_docs``: their
+    hashes, ascending, and how many documents have each. They only order the prefixes, so no bound changes any result."""
     light = ids_and_texts(docs)
     total = light.select("doc_id").count()
     sample = light.sample(min(1.0, sample_docs / total), seed=3) if total else light
@@ -208,8 +208,14 @@ def common_shingles(docs: DataFrame, sample_docs: int = 40_000, at_least: int =
             for t in b.column("text").to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingler(t).view(np.int64))], schema=out)
 
-    counts = sample.mapInArrow(run, spark_schema(out)).groupBy("shingle").count().where(F.col("count") >= at_least)
-    found = counts.orderBy(F.desc("count"), "shingle").limit(most).toPandas()
+    counts = scratch.save(sample.mapInArrow(run, spark_schema(out)).groupBy("shingle").count().where("count >= 2"), "sampled")
+    least, left = 2, most
+    for r in counts.groupBy("count").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("count")).collect():  # a row for each frequency
+        left -= r["n"]
+        if left < 0:
+            least = r["count"] + 1
+            break
+    found = counts.where(F.col("count") >= least).toPandas()
     shingles, n = found["shingle"].to_numpy(dtype=np.int64).view(np.uint64), found["count"].to_numpy(dtype=np.int64)
     order = np.argsort(shingles)
     return shingles[order], n[order]
@@ -403,7 +409,7 @@ def tree_pairs(members: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, n_shingles and component_id, a row for each row of ``docs``."""
-    sets = scratch.save(shingle_sets(docs, common_shingles(docs)), "sets")
+    sets = scratch.save(shingle_sets(docs, common_shingles(docs, scratch)), "sets")
 
     # entries of prefixes that meet another class
     entries = sets.where("prefix IS NOT NULL").select(F.explode("prefix").alias("key"), "cls")
