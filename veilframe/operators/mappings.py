@@ -9,7 +9,7 @@ from ..functions import spans as S
 from ..sources.records import scratch_path
 from .ranks import numbered
 
-#: Values that may stay in a text.
+# What may stay in a text although it is known.
 WHITELIST = ("CLAUDE", "CLAUDE CODE", "CLAUDE COWORK", "ANTHROPIC")
 #: Up to so many values are sent to every task at once.
 BROADCAST_VALUES = 50_000
