@@ -90,7 +90,7 @@ def measure(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
-def mix(measured: DataFrame, scratch: Scratch, seed: int = 7, shard_rows: int = 4096, most_shards: int = 200_000, blocks_per_source: int = 2_000) -> DataFrame:
+def mix(measured: DataFrame, seed: int = 7, shard_rows: int = 4096, most_shards: int = 200_000, blocks_per_source: int = 2_000) -> DataFrame:
     """``measured``: rows of doc_id, source, size, print (and others, which are kept), in a written table.
 
     Adds source_size, target, taken, and where the window lies: ``start`` and ``stop`` of the document in its shard, the
@@ -145,7 +145,7 @@ def mix(measured: DataFrame, scratch: Scratch, seed: int = 7, shard_rows: int =
 
 def plan(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, size, source_size, target and taken, a row for each row of ``docs``."""
-    mixed = mix(scratch.save(measure(docs), "sizes"), scratch)
+    mixed = mix(scratch.save(measure(docs), "sizes"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -155,7 +155,7 @@ def materialise(docs: DataFrame, scratch: Scratch) -> DataFrame:
     columns = docs.columns
     measured = measure(docs, F.struct(*columns).alias("row"))
     light = scratch.save(measured.drop("row"), "sizes")
-    mixed = mix(light, scratch).where("taken > 0").select("doc_id", "print", "size", "start", "stop", "full", "window_from", "window_words", "shard_size")
+    mixed = mix(light).where("taken > 0").select("doc_id", "print", "size", "start", "stop", "full", "window_from", "window_words", "shard_size")
     # equal rows (same id, same text) are numbered on both sides, so that each meets its own place
     twin = Window.partitionBy("doc_id", "print").orderBy("start")
     mixed = mixed.withColumn("twin", F.row_number().over(twin)).withColumnRenamed("doc_id", "m_id").withColumnRenamed("print", "m_print").drop("size")
