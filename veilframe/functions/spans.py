@@ -24,6 +24,8 @@ class Finder:
     score: float = 1.0
     #: The same language without possessive groups and lookaround, for engines that lack them.
     plain: str = ""
+    #: A cheap SQL test of the text (named text) that every match implies; texts that fail it are not searched.
+    needs: str = "true"
 
 
 def sql_literal(text: str) -> str:
@@ -35,15 +37,16 @@ LUHN = f"exists(array({_DIGITS}), d -> aggregate(sequence(1, length(d)), 0, (q,
 #: Letters count as 10 to 35; the first four characters go last; the number is 1 modulo 97.
 MOD97 = "aggregate(split(concat(substr(m, 5), left(m, 4)), ''), 0, (r, c) -> CASE WHEN c = '' THEN r WHEN c BETWEEN '0' AND '9' THEN (r * 10 + int(c)) % 97 ELSE (r * 100 + ascii(c) - 55) % 97 END) = 1"
 _WORD = "'[A-Za-z0-9_]'"
+_DIGIT = "text rlike '[0-9]'"
 
-EMAIL = Finder("EMAIL", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", plain=r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-PHONE = Finder("PHONE", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 8 AND 15 AND (b = '' OR b rlike '[ \\t\\n\\r]')", 0.7)
-CREDIT_CARD = Finder("CREDIT_CARD", r"[0-9]++(?:[\x20-][0-9]++)*+", f"length({_DIGITS}) BETWEEN 13 AND 19 AND NOT b rlike {_WORD} AND NOT a rlike {_WORD} AND {LUHN}", 1.0, r"[0-9]+(?:[\x20-][0-9]+)*")
-IBAN = Finder("IBAN", r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", f"NOT b rlike {_WORD} AND NOT a rlike {_WORD} AND {MOD97}")
+EMAIL = Finder("EMAIL", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", plain=r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", needs="instr(text, '@') > 0")
+PHONE = Finder("PHONE", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 8 AND 15 AND (b = '' OR b rlike '[ \\t\\n\\r]')", 0.7, needs="instr(text, '+') > 0")
+CREDIT_CARD = Finder("CREDIT_CARD", r"[0-9]++(?:[\x20-][0-9]++)*+", f"length({_DIGITS}) BETWEEN 13 AND 19 AND NOT b rlike {_WORD} AND NOT a rlike {_WORD} AND {LUHN}", 1.0, r"[0-9]+(?:[\x20-][0-9]+)*", _DIGIT)
+IBAN = Finder("IBAN", r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", f"NOT b rlike {_WORD} AND NOT a rlike {_WORD} AND {MOD97}", needs=_DIGIT)
 IGNORED_IPS = ("0.0.0.0", "127.0.0.1", "255.255.255.255", "localhost", "::1")
-IP = Finder("IP_ADDRESS", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "forall(split(m, '[.]'), o -> int(o) <= 255) AND NOT b rlike '[0-9.]' AND NOT a rlike '[0-9]' AND NOT m IN ('" + "', '".join(IGNORED_IPS) + "')", 0.95)
-US_SSN = Finder("SSN", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "NOT b rlike '[0-9A-Za-z-]' AND NOT a rlike '[0-9A-Za-z-]' AND NOT m rlike '^(000|666|9)' AND substr(m, 5, 2) <> '00' AND right(m, 4) <> '0000'", 0.5)
-FR_NIR = Finder("SSN", r"[12]\s?[0-9]{2}\s?[0-9]{2}\s?[0-9]{2}\s?[0-9]{3}\s?[0-9]{3}\s?[0-9]{2}", f"NOT b rlike {_WORD} AND NOT a rlike {_WORD}", 0.6)
+IP = Finder("IP_ADDRESS", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "forall(split(m, '[.]'), o -> int(o) <= 255) AND NOT b rlike '[0-9.]' AND NOT a rlike '[0-9]' AND NOT m IN ('" + "', '".join(IGNORED_IPS) + "')", 0.95, needs=_DIGIT)
+US_SSN = Finder("SSN", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "NOT b rlike '[0-9A-Za-z-]' AND NOT a rlike '[0-9A-Za-z-]' AND NOT m rlike '^(000|666|9)' AND substr(m, 5, 2) <> '00' AND right(m, 4) <> '0000'", 0.5, needs=_DIGIT)
+FR_NIR = Finder("SSN", r"[12]\s?[0-9]{2}\s?[0-9]{2}\s?[0-9]{2}\s?[0-9]{3}\s?[0-9]{3}\s?[0-9]{2}", f"NOT b rlike {_WORD} AND NOT a rlike {_WORD}", 0.6, needs=_DIGIT)
 STRUCTURED = (EMAIL, PHONE, CREDIT_CARD, IBAN, IP, US_SSN, FR_NIR)
 MIN_SCORE = 0.4
 
@@ -55,7 +58,10 @@ def find(df: DataFrame, finders: tuple[Finder, ...] = STRUCTURED, text: str = "t
     """
     kept = [f"`{c}`" for c in df.columns]
     source = f"coalesce(`{text}`, '')"
-    cut = df.selectExpr(*kept, "inline(array(named_struct(" + ", ".join(f"'m_{i}', regexp_extract_all({source}, {sql_literal(f.pattern)}, 0), 'g_{i}', split({source}, {sql_literal(f.pattern)}, -1)" for i, f in enumerate(finders)) + ")))")
+    needs = list(dict.fromkeys(f.needs for f in finders))
+    tested = df.selectExpr(*kept, "inline(array(named_struct(" + ", ".join(f"'n_{k}', {n.replace('text', source)}" for k, n in enumerate(needs)) + ")))")
+    once = lambda f, call: f"CASE WHEN n_{needs.index(f.needs)} THEN {call}({source}, {sql_literal(f.pattern)}, {0 if call == 'regexp_extract_all' else -1}) END"
+    cut = tested.selectExpr(*kept, "inline(array(named_struct(" + ", ".join(f"'m_{i}', {once(f, 'regexp_extract_all')}, 'g_{i}', {once(f, 'split')}" for i, f in enumerate(finders)) + ")))")
     parts = []
     for i, f in enumerate(finders):
         at = f"p.at + length(g_{i}[i])"

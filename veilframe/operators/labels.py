@@ -13,7 +13,9 @@ LABELS = ("O", "B-PER", "I-PER", "B-ORG", "I-ORG", "B-LOC", "I-LOC")
 
 def io_to_bio(tags: Column) -> Column:
     """Inside tags (a type, or O) to BIO: a tag begins where the tag before it differs."""
-    return F.transform(tags, lambda t, i: F.when(t == "O", t).when((i > 0) & (F.get(tags, i - 1) == t), F.concat(F.lit("I-"), t)).otherwise(F.concat(F.lit("B-"), t)))
+    before = F.concat(F.array(F.lit(None).cast("string")), tags)  # one longer, so the last pair is cut off again
+    made = F.zip_with(tags, before, lambda t, p: F.when(t == "O", t).when(t == p, F.concat(F.lit("I-"), t)).otherwise(F.concat(F.lit("B-"), t)))
+    return F.slice(made, F.lit(1), F.size(tags))
 
 
 def token_starts(text: Column) -> Column:
