@@ -156,6 +156,23 @@ def test_repeated_rows_leave_one(spark):
     assert sorted(map(str, ids)) == sorted(map(str, [1, 3, 4, 5, 6, 7, 8, 9, None, -5]))
 
 
+def test_rows_that_share_an_id_are_judged_by_their_own_text(spark):
+    rng = random.Random(8)
+    unique = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(12)]
+    a, b, c = ([*unique[k].split()] for k in range(3))
+    near = lambda ws, k: " ".join([*ws[:-k], *(f"x{i}" for i in range(k))])
+    rows = [(5, unique[0]), (None, near(a, 2)), *((None, t) for t in unique[3:])]  # one copy among unique rows without id
+    rows += [(7, unique[1]), (7, "B " + unique[3][::-1]), (3, near(b, 2))]  # (7, B) is no copy of 3
+    rows += [(9, unique[2]), (9, near(c, 1)), (9, near(c, 2))]  # near copies of one id
+    d = [f"d{i}" for i in range(60)]
+    rows += [(None, " ".join(d)), (None, near(d, 1)), (None, "")]  # near copies without id
+    kept = [(r.doc_id, r.text) for r in jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "k")).collect()]
+    groups = [[rows[-3], rows[-2]], [r for r in rows if r[0] == 9]]
+    assert all(sum(r in kept for r in g) == 1 for g in groups)
+    single = [r for r in rows if not any(r in g for g in groups)]
+    assert sorted(map(str, (r for r in kept if r in single))) == sorted(map(str, (r for r in single if r not in [(None, near(a, 2)), (7, unique[1])])))
+
+
 # ---- tokens
 
 

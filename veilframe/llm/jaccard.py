@@ -27,7 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, batch, ids_and_texts, in_slices, only, spark_schema
@@ -191,7 +191,7 @@ class SignatureTree:
 
 # ---- classes and prefixes ------------------------------------------------------------------------------------------------
 
-SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("bits", pa.binary()), ("sign", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+SETS = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("bits", pa.binary()), ("sign", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
 
 def common_shingles(docs: DataFrame, scratch: Scratch, sample_docs: int = 20_000, most: int = 150_000) -> tuple[np.ndarray, np.ndarray]:
@@ -221,8 +221,13 @@ def common_shingles(docs: DataFrame, scratch: Scratch, sample_docs: int = 20_000
     return shingles[order], n[order]
 
 
+def mark_of(docs: DataFrame) -> Column:
+    """A 64-bit hash of a row's text; with the id it tells rows of different texts apart."""
+    return F.xxhash64(docs["text"].cast("string")).alias("mark")
+
+
 def shingle_sets(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """A row for each row of ``docs``: doc_id, n, its class (null without words), and bitmap and prefix where the block meets
+    """A row for each row of ``docs``: doc_id, mark (a hash of its text), n, its class (null without words), and bitmap and prefix where the block meets
     the class first."""
 
     known, often = common
@@ -232,7 +237,7 @@ def shingle_sets(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> Data
         for b in in_slices(batches):
             rows: dict[str, list] = {f: [] for f in SETS.names}
             met: set[int] = set()
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+            for doc_id, mark, text in zip(b.column("doc_id").to_pylist(), b.column("mark").to_pylist(), b.column("text").to_pylist()):
                 s = shingler(text)
                 cls = class_of(s) if len(s) else None
                 first = cls is not None and cls not in met
@@ -247,11 +252,11 @@ def shingle_sets(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> Data
                     prefix = prefix[: prefix_length(len(s))].view(np.int64)
                 else:
                     wide = None
-                for name, value in zip(SETS.names, (doc_id, len(s), cls, wide, signature(wide) if first else None, prefix if first else None)):
+                for name, value in zip(SETS.names, (doc_id, mark, len(s), cls, wide, signature(wide) if first else None, prefix if first else None)):
                     rows[name].append(value)
             yield batch(SETS, **rows)
 
-    return ids_and_texts(docs).mapInArrow(run, spark_schema(SETS))
+    return ids_and_texts(docs, mark_of(docs)).mapInArrow(run, spark_schema(SETS))
 
 
 PAYLOAD = pa.schema([("cls", pa.int64()), ("shingles", pa.binary())])
@@ -409,6 +414,12 @@ def tree_pairs(members: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, n_shingles and component_id, a row for each row of ``docs``."""
+    return placed_rows(docs, scratch).select("doc_id", "n_shingles", "component_id")
+
+
+def placed_rows(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """A row for each row of ``docs``: doc_id, mark, n_shingles, component_id, and comp, which names the component even where
+    components share ids; null without words."""
     sets = scratch.save(shingle_sets(docs, common_shingles(docs, scratch)), "sets")
 
     # entries of prefixes that meet another class
@@ -454,10 +465,10 @@ def join(docs: DataFrame, scratch: Scratch) -> DataFrame:
     # the smallest id of each component, back to the rows
     classes = named.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     smallest = classes.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    placed = classes.join(smallest, "comp").select(F.col("cls").alias("c"), "component_id")
-    rows = sets.select("doc_id", F.col("n").alias("n_shingles"), "cls")
-    joined = rows.where("cls IS NOT NULL").join(placed, F.col("cls") == F.col("c")).select("doc_id", "n_shingles", F.nullif("component_id", F.lit(NO_ID)).alias("component_id"))
-    return joined.unionAll(rows.where("cls IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    placed = classes.join(smallest, "comp").select(F.col("cls").alias("c"), "comp", "component_id")
+    rows = sets.select("doc_id", "mark", F.col("n").alias("n_shingles"), "cls")
+    joined = rows.where("cls IS NOT NULL").join(placed, F.col("cls") == F.col("c")).select("doc_id", "mark", "n_shingles", F.nullif("component_id", F.lit(NO_ID)).alias("component_id"), "comp")
+    return joined.unionAll(rows.where("cls IS NULL").select("doc_id", "mark", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("comp")))
 
 
 def plausible(pairs: DataFrame, info: DataFrame) -> DataFrame:
@@ -491,14 +502,21 @@ def verified(pairs: DataFrame, docs: DataFrame, named: DataFrame, scratch: Scrat
 
 
 def keep_one(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``docs`` without the rows whose component has a smaller id: of each group the document of the smallest id stays. Rows of
-    equal id and equal text count as copies, of which one stays; texts without words are no copies of each other."""
-    found = scratch.save(join(docs, scratch), "components")
-    dropped = scratch.save(found.where("NOT (doc_id <=> component_id)").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("dropped_id")).distinct(), "dropped")
+    """``docs`` with exactly one row of each component: that of the smallest id, null counting as the largest, then of the
+    smallest hash of its text. Rows are told apart by id and text, so rows that only share an id, or have none, are judged each by
+    its own text. Rows of equal id and equal text are copies, of which one stays; other texts without words are no copies of
+    each other."""
+    found = scratch.save(placed_rows(docs, scratch).select("doc_id", "mark", "comp"), "components")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("mark"))
+    first = found.where("comp IS NOT NULL").groupBy("comp").agg(F.min(row).alias("first"), F.max(row).alias("last")).where("first <> last")
+    others = found.join(first, "comp").where(row != F.col("first"))
+    dropped = scratch.save(others.select(F.col("doc_id").alias("dropped_id"), F.col("mark").alias("dropped_mark")).distinct(), "dropped")
     side = F.broadcast(dropped) if dropped.count() <= 1_000_000 else dropped  # checked; beyond it, by shuffle
-    kept = docs.join(side, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("dropped_id"), "left_anti")
-    twice = scratch.save(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice_id")), "twice")
+    mark = mark_of(docs)
+    kept = docs.join(side, docs["doc_id"].cast("long").eqNullSafe(F.col("dropped_id")) & (mark == F.col("dropped_mark")), "left_anti")
+    twice = scratch.save(found.groupBy("doc_id", "mark").count().where("count > 1").select(F.col("doc_id").alias("twice_id"), F.col("mark").alias("twice_mark")), "twice")
     if twice.isEmpty():
         return kept
-    again = kept.join(twice, kept["doc_id"].cast("long").eqNullSafe(F.col("twice_id")), "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(twice, kept["doc_id"].cast("long").eqNullSafe(F.col("twice_id")), "left_anti").unionByName(again)
+    repeated = kept["doc_id"].cast("long").eqNullSafe(F.col("twice_id")) & (mark_of(kept) == F.col("twice_mark"))
+    again = kept.join(twice, repeated, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(twice, repeated, "left_anti").unionByName(again)
