@@ -82,6 +82,28 @@ def test_forest_rejects_odd_rows_and_keeps_good(spark, docs):
     assert bad.anomaly.median() > good.anomaly.quantile(0.99)
 
 
+def test_threshold_comes_from_both_labels():
+    class Given:
+        scores = staticmethod(lambda x: x)
+
+    good = np.linspace(0.2, 0.4, 1000)
+    for bad, caught in ((np.linspace(0.398, 0.6, 100), 0.98), (np.linspace(0.5, 0.6, 100), 1.0)):
+        threshold = quality.calibrate(Given, good, bad, 0.02)
+        assert (good > threshold).mean() <= 0.02 and (bad > threshold).mean() >= caught
+    assert (good > threshold).sum() == 0  # no good row goes where none need
+    assert quality.calibrate(Given, good, bad[:0], 0.02) == np.inf
+
+
+def test_most_unseen_bad_rows_are_caught(spark):
+    from veilframe.llm.common import fold
+
+    folder = "/root/testdata/sf0.1"
+    rows, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    held = fold(F.col("doc_id")) == 0
+    judged = quality.judge(rows.where(held), quality.fit(rows, labels.where(~held))).join(labels, "doc_id").where("NOT base_failed").toPandas()
+    assert judged[judged.quality == 1].kept.mean() > 0.97 and judged[judged.quality == 0].kept.mean() < 0.1
+
+
 # ---- near duplicates
 
 

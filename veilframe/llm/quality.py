@@ -3,8 +3,8 @@
 The forest is grown on labelled rows of good quality, at most ``max_labelled`` of them (a documented bound: those with the
 lowest hash of the id). Each tree takes a subsample and splits its node's box at uniformly random places; the root's box spans
 all labelled rows, so that a place where only bad rows lie is cut off after few splits. The mean path length gives the usual
-anomaly score 2^(-E[h] / c). The threshold is calibrated on labelled rows that the trees have not seen: the lowest score that
-rejects at most ``max_good_rejected`` of the good rows.
+anomaly score 2^(-E[h] / c). The threshold is calibrated on labelled rows that the trees have not seen, good and bad: of the
+scores that reject at most ``max_good_rejected`` of the good rows, the one of best balanced accuracy.
 
 Statistics use every whole text. There is no shuffle: one scan with the few labelled ids broadcast (a proven bound), then one
 scan that scores. Results: a null or empty text has no words and fails the base rules; without labelled rows only the base
@@ -142,15 +142,19 @@ def grow(x: np.ndarray, low: np.ndarray, high: np.ndarray, trees: int, subsample
 
 
 def calibrate(forest: Forest, good: np.ndarray, bad: np.ndarray, max_good_rejected: float) -> float:
-    """The lowest score that rejects at most that share of the good rows; none is rejected without bad rows."""
+    """The score of best balanced accuracy, rows above it being rejected, among those that reject at most that share of the good
+    rows; of equal ones the highest. None is rejected without rows of both labels."""
     if not len(bad) or not len(good):
         return np.inf
-    ordered = np.sort(forest.scores(good))
-    allowed = int(len(ordered) * max_good_rejected)
-    return float(np.nextafter(ordered[len(ordered) - 1 - allowed], 2))
+    good, bad = np.sort(forest.scores(good)), np.sort(forest.scores(bad))
+    at = np.unique(np.concatenate([good, bad]))
+    rejected = len(good) - np.searchsorted(good, at, side="right")
+    caught = len(bad) - np.searchsorted(bad, at, side="right")
+    at, gain = at[::-1], (caught / len(bad) - rejected / len(good))[::-1]
+    return float(at[np.argmax(np.where(rejected[::-1] <= max_good_rejected * len(good), gain, -np.inf))])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, trees: int = 100, subsample: int = 256, max_good_rejected: float = 0.005, seed: int = 11) -> Forest | None:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, trees: int = 100, subsample: int = 256, max_good_rejected: float = 0.02, seed: int = 11) -> Forest | None:
     """A forest from labelled rows (``labels``: doc_id, quality), at most ``max_labelled`` of them; None without good rows."""
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
