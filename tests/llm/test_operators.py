@@ -334,6 +334,18 @@ def test_toxicity_held_out(spark):
     assert (clean >= 0.5).mean() < 0.02
 
 
+def test_toxicity_counts_every_labelled_row(spark):
+    from veilframe.llm import toxicity
+
+    rows = [(i, f"common words rare{i} rare{i}", "en", "a") for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    model = toxicity.learn(documents(spark, rows), labels, per_class=10)
+    learned = [i for i in range(400) if not held_out(i)]
+    assert {f"rare{i}".encode() for i in learned} | {b"common", b"words"} == set(model.models.words)
+    gains = model.models.gains([f"rare{i}".encode() for i in learned])
+    assert all((g > 0) == (i % 2 == 1) for i, g in zip(learned, gains))
+
+
 # ---- media
 
 
