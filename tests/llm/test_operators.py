@@ -296,6 +296,23 @@ def test_redaction_leaves_no_base_span(spark):
     assert all(base_spans(r.text) == "" for r in done.collect())
 
 
+LISTS = [
+    ("643-555-2043 644-555-2044", ["643-555-2043", "644-555-2044"]), ("643-555-2043 10 20 30 40 50", ["643-555-2043"]), ("room 42 (643) 555-2043", ["(643) 555-2043"]),
+    ("call (643) 555-2043 (644) 555-2044 (645) 555-2045 now", ["(643) 555-2043", "(644) 555-2044", "(645) 555-2045"]), ("table 10 20 30 40 50 60 70 80 90 100", []), ("on 2024-01-02 2024-01-03", []),
+]
+
+
+def test_numbers_in_lists_are_found(spark):
+    frame = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(LISTS)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.report(frame, pii.train(spark)).collect()}
+    for k, (text, expected) in enumerate(LISTS):
+        assert [text[int(i) : int(j)] for _, i, j in (x.split(":") for x in got[k].split(",") if x)] == expected
+    run = "12 (643) 555-2043 10 4111 1111 1111 1112 9"
+    candidates = pii.candidates(spark.createDataFrame([(run,)], "text string")).selectExpr("transform(c_number, s -> struct(s.start, s.stop, s.m, s.b, s.a)) AS c").first().c
+    assert [(c.start, c.stop) for c in candidates] == pii.windows(run)
+    assert all((c.m, c.b, c.a) == (run[c.start : c.stop], run[max(0, c.start - 24) : c.start], run[c.stop : c.stop + 8]) for c in candidates)
+
+
 # ---- languages, toxicity
 
 

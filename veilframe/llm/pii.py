@@ -1,9 +1,10 @@
 """Personal data by candidate gradient boosting, in DataFrame and SQL functions only.
 
 Generators of high recall propose spans that may overlap: four base kinds (e-mail, IP, card, phone), whose matches stay when
-they pass their own test, and loose ones (numbers with any single separators, written-out e-mail addresses). Boosted trees over
-format and context features score the loose candidates; those at or above a calibrated threshold that no base span overlaps are
-added. The trees are grown by the driver on a bounded, seeded set of labelled examples made from public number formats
+they pass their own test, and loose ones (numbers with any single separators, written-out e-mail addresses). A run of digit groups is offered as every window
+of whole groups that has 7 to 19 digits, so lists and tables of numbers are taken apart. Boosted trees over format and context
+features score the loose candidates; of those at or above a calibrated threshold that no base span overlaps, the one of the
+highest margin, then the longest, then the first, is added, and those that overlap it go. The trees are grown by the driver on a bounded, seeded set of labelled examples made from public number formats
 (``examples``), the threshold on a held-out half of it; they run on the executors as SQL CASE expressions.
 
 There is no shuffle and no Python on the executors. Spans are found once per text: an ``inline`` generator keeps the optimiser
@@ -13,6 +14,7 @@ Results: a null text counts as empty; offsets are code points, end exclusive; re
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import cache
 
@@ -44,12 +46,36 @@ TESTS = {
     "ip": _OCTETS,
     "card": f"length(m) >= 14 AND length({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN}",
     "phone": f"length({_DIGITS}) BETWEEN 10 AND 15",
-    "number": f"length(m) >= 9 AND length({_DIGITS}) BETWEEN 7 AND 19",
+    "number": f"length(m) >= 9 AND length({_DIGITS}) >= 7",  # of a run; windows are tested by themselves
     "written_email": "true",
 }
 _SPAN = "STRUCT<start: INT, stop: INT, kind: STRING, m: STRING, b: STRING, a: STRING>"
 
 
+_GROUP = r"'\\(?[0-9]+'"
+#: The windows of a run r: its digit groups t, their ends e, for each first group i the text z around it (from l characters before
+#: it; 19 digits and their separators have less than LONGEST), and the last groups j. Linear in the run.
+LONGEST = 80
+_WINDOWS = (
+    "flatten(transform(array(named_struct("
+    f"'t', regexp_extract_all(r.m, {_GROUP}, 0), 'g', split(r.m, {_GROUP}, -1))), x -> flatten(transform(array("
+    "aggregate(sequence(0, size(x.t) - 1), CAST(array() AS ARRAY<INT>), (p, i) -> concat(p, array(coalesce(try_element_at(p, -1), 0) + length(x.g[i]) + length(x.t[i]))))"
+    "), e -> flatten(transform(sequence(0, size(e) - 1), i -> flatten(transform(array(named_struct("
+    f"'s', e[i] - length(x.t[i]), 'l', least(e[i] - length(x.t[i]), 24), 'z', substring(r.m, greatest(e[i] - length(x.t[i]) - 23, 1), {LONGEST} + 32))), y -> filter("
+    f"transform(filter(sequence(i, least(i + 18, size(e) - 1)), j -> e[j] - y.s BETWEEN 9 AND {LONGEST}), j -> "
+    "named_struct('start', r.start + y.s, 'stop', r.start + e[j], 'kind', r.kind, 'm', substring(y.z, y.l + 1, e[j] - y.s),"
+    " 'b', right(concat(r.b, substring(y.z, 1, y.l)), 24), 'a', left(concat(substring(y.z, y.l + e[j] - y.s + 1, 8), r.a), 8))),"
+    " w -> length(regexp_replace(w.m, '[^0-9]', '')) BETWEEN 7 AND 19)))))))))"
+)
+
+
+def windows(run: str) -> list[tuple[int, int]]:
+    """The same for examples: (start, stop) of each window of a run."""
+    groups = [m.span() for m in re.finditer(r"\(?[0-9]+", run)]
+    made = [(i, j) for k, (i, _) in enumerate(groups) for _, j in groups[k : k + 19]]
+    return [(i, j) for i, j in made if j - i >= 9 and 7 <= sum(map(str.isdigit, run[i:j])) <= 19]
+
+
 def _literal(pattern: str) -> str:
     return quoted(pattern.replace("\\", "\\\\"))
 
@@ -60,7 +86,8 @@ def _found(kind: str) -> str:
     at = f"p.at + length({g}[i])"
     item = f"named_struct('start', {at}, 'stop', {at} + length({m}[i]), 'kind', '{kind}', 'm', {m}[i], 'b', right({g}[i], 24), 'a', left({g}[i + 1], 8))"
     fold = f"aggregate(sequence(0, size({m}) - 1), named_struct('at', 0, 'out', CAST(array() AS ARRAY<{_SPAN}>)), (p, i) -> named_struct('at', {at} + length({m}[i]), 'out', concat(p.out, filter(array({item}), x -> {test}))), p -> p.out)"
-    return f"CASE WHEN size({m}) > 0 THEN {fold} ELSE CAST(array() AS ARRAY<{_SPAN}>) END"
+    spans = f"CASE WHEN size({m}) > 0 THEN {fold} ELSE CAST(array() AS ARRAY<{_SPAN}>) END"
+    return f"flatten(transform({spans}, r -> {_WINDOWS}))" if kind == "number" else spans
 
 
 def candidates(rows: DataFrame) -> DataFrame:
@@ -100,6 +127,8 @@ FEATURES = {
     "joined_before": "int(right(b, 1) rlike '[A-Za-z0-9_]')",
     "joined_after": "int(left(a, 1) rlike '[A-Za-z0-9_]')",
     "sign_before": "int(right(b, 1) rlike '[$#=/.:,-]')",
+    "number_before": r"int(b rlike '[0-9][)]?[ .-]?$')",
+    "number_after": r"int(a rlike '^[)]?[ .-]?[(]?[0-9]')",
     "written_at": r"int(m rlike '[(\\[]\\x20?at\\x20?[)\\]]')",
     **{name: f"int(lower(b) rlike '(^|[^a-z])({words})[^a-z]')" for name, words in _WORDS_FOR.items()},
 }
@@ -202,6 +231,19 @@ def examples(n: int = 3000, seed: int = 5) -> list[tuple[str, str, str, int]]:
         m, before = (good if label else bad)[int(rng.integers(0, len(good if label else bad)))]
         joined = not label and rng.random() < 0.15
         made.append((m, f"{word()} {before}" + pick("a", "x", "_", "$", "=") * joined, pick(" ", ".", ",", "") + word() * (rng.random() < 0.8), label))
+        # runs of several numbers: each of their windows
+        if rng.random() < 0.3:
+            hint, run, good_spans = pick("", "", "phone ", "tel ", "numbers ", "room ", "order ", "ref ", "item "), "", []
+            for _ in range(int(rng.integers(1, 4))):
+                d10 = digits(10, pick("2", "4", "6", "7", "9"))
+                kind = int(rng.integers(0, 5))
+                part = (f"({d10[:3]}) {d10[3:6]}-{d10[6:]}", f"{d10[:3]}-{d10[3:6]}-{d10[6:]}", " ".join(digits(int(rng.integers(1, 5))) for _ in range(int(rng.integers(1, 7)))), digits(int(rng.integers(1, 9))), f"{pick('19', '20')}{digits(2)}-{digits(2)}-{digits(2)}")[kind]
+                run += " " * bool(run)
+                if kind == 0 or (kind == 1 and hint not in ("order ", "ref ", "item ")):
+                    good_spans.append((len(run), len(run) + len(part)))
+                run += part
+            before, after = f"{word()} {hint}", pick(" ", ".", ",", "") + word() * (rng.random() < 0.8)
+            made += [(run[i:j], (before + run[:i])[-24:], (run[j:] + after)[:8], int((i, j) in good_spans)) for i, j in windows(run)]
     return [x for x in made if len(x[0]) >= 9]
 
 
@@ -241,15 +283,17 @@ def detect(rows: DataFrame, model: Trees) -> DataFrame:
     for k in MORE:
         named = ", ".join(f"'{f}', double({_of_candidate(e)})" for f, e in FEATURES.items())
         margin = model.sql([f"z.{f}" for f in FEATURES])
-        chosen = f"filter(c_{k}, s -> exists(array(named_struct({named})), z -> {margin} >= {min(model.threshold, 1e9)!r}D) AND NOT exists(base, o -> o.start < s.stop AND s.start < o.stop))"
-        scored.append(f"transform({chosen}, s -> {light.format(rank=kinds.index(k))})")
-    return first.selectExpr(*kept, "base", f"inline(array(named_struct('more', array_sort(concat({', '.join(scored)})))))")
+        margins = f"transform(c_{k}, s -> named_struct('margin', transform(array(named_struct({named})), z -> {margin})[0], 's', named_struct('start', s.start, 'stop', s.stop, 'kind', s.kind)))"
+        chosen = f"transform(filter({margins}, y -> y.margin >= {min(model.threshold, 1e9)!r}D AND NOT exists(base, o -> o.start < y.s.stop AND y.s.start < o.stop)), y -> named_struct('order', -y.margin, 'size', y.s.start - y.s.stop, 'start', y.s.start, 'rank', {kinds.index(k)}, 'stop', y.s.stop, 'kind', y.s.kind))"
+        scored.append(chosen)
+    # of overlapping candidates the one of the highest margin
+    resolved = "aggregate(array_sort(scored), CAST(array() AS ARRAY<STRUCT<start: INT, rank: INT, stop: INT, kind: STRING>>), (p, s) -> if(exists(p, o -> o.start < s.stop AND s.start < o.stop), p, concat(p, array(" + light.format(rank="s.rank") + "))))"
+    first = first.selectExpr(*kept, "base", f"inline(array(named_struct('scored', concat({', '.join(scored)}))))")
+    return first.selectExpr(*kept, "base", f"inline(array(named_struct('more', array_sort({resolved}))))")
 
 
 def _of_candidate(sql: str) -> str:
     """A feature's SQL with m, b, a as fields of the candidate s."""
-    import re
-
     return re.sub(r"(?<=\()([mba])(?=[,) ])", r"s.\1", sql)
 
 
@@ -275,10 +319,13 @@ def redact(docs: DataFrame, model: Trees) -> DataFrame:
         f" THEN concat(slice(p, 1, size(p) - 1), array(named_struct('start', {last}.start, 'stop', greatest({last}.stop, s.stop), 'kind', {last}.kind)))"
         " ELSE concat(p, array(named_struct('start', s.start, 'stop', s.stop, 'kind', s.kind))) END)"
     )
-    united = detect(rows, model).selectExpr("row", "text", f"inline(array(named_struct('u', {fold})))")
     before = "substring(text, if(i = 0, 0, u[i - 1].stop) + 1, u[i].start - if(i = 0, 0, u[i - 1].stop))"
     built = f"CASE WHEN size(u) = 0 THEN text ELSE concat(array_join(transform(sequence(0, size(u) - 1), i -> concat({before}, '[', upper(u[i].kind), ']')), ''), substring(text, u[size(u) - 1].stop + 1)) END"
-    done = united.selectExpr("row", f"inline(array(named_struct('redacted', {built})))")
+    united = detect(rows, model).selectExpr("row", "text", f"inline(array(named_struct('u', {fold}, 'part', size(more) > 0)))")
+    once = united.selectExpr("row", f"inline(array(named_struct('once', {built}, 'part', part)))")
+    # where a number was taken out of a run, the rest may be a base span
+    rest = detect(once.selectExpr("row", "once", "if(part, once, '') AS text"), model).selectExpr("row", "once", "text", f"inline(array(named_struct('u', {fold.replace('concat(base, more)', 'base')})))")
+    done = rest.selectExpr("row", f"inline(array(named_struct('redacted', if(text = '', once, {built}))))")
 
     def column(name: str) -> Column:
         old = F.col("row")[name]
