@@ -207,6 +207,17 @@ def test_remembered_pieces_equal_whole_texts(texts, name, monkeypatch):
         assert encoder.encode(text) == encoder.encode_whole(text)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_get_the_ids_of_the_library(texts, name):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path(name)
+    encoder, library = tokens.Encoder(path), Tokenizer.from_file(path)
+    odd = ["a <|endoftext|> b", "<|startoftext|>x<|endoftext|>", "a <|ENDOFTEXT|> b", "é<|endoftext|>日本", "a <|endof text|>", "plain words"]
+    for text in odd + [t or "" for t in texts.values()][:200]:
+        assert np.frombuffer(encoder.encode(text), dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_shards_round_trip_and_look_up(spark, docs, texts):
     scratch = Scratch(spark, "s")
     path = queries.tokenizer_path("byte_bpe_50k.json")

@@ -2,7 +2,8 @@
 
 Byte-level BPE works inside pre-tokens, and most pre-tokens recur, so each worker asks the library once for each pre-token and
 keeps the answer (two generations of at most ``KEEP`` entries: what is met again moves to the new one). Texts are split by the tokenizer's published pattern
-only where every character is one whose class is the same in all Unicode versions; any other text goes to the library whole.
+only where every character is one whose class is the same in all Unicode versions; any other text, and one with an added token such as <|endoftext|>, goes to the
+library whole, so ids are those of the library's own call.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.whole = Tokenizer.from_str(json.dumps(spec))
-        self.whole.encode_special_tokens = True
+        #: Contents of added tokens, which the library takes out before it splits.
+        self.added = re.compile("|".join(re.escape(t["content"]) for t in spec.get("added_tokens") or ()) or r"(?!)").search
         steps = spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]])
         self.lower = spec.get("normalizer") is not None
         self.split = None
@@ -56,8 +58,11 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if self.split is None or _OTHER.search(text):
             return self.encode_whole(text)
+        normal = text.lower() if self.lower else text
+        if self.added(text) or (self.lower and self.added(normal)):
+            return self.encode_whole(text)
         known = self.known
-        pieces = self.split(text.lower() if self.lower else text)
+        pieces = self.split(normal)
         new = list(set(pieces).difference(known))
         if new:
             if len(known) > KEEP:
