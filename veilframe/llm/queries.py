@@ -61,8 +61,8 @@ def op4_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    return toxicity.score(docs, toxicity.learn(docs, read_table(spark, sf_dir, "labels")))
+    docs, scratch = read_table(spark, sf_dir, "documents"), Scratch(spark, "op5")
+    return toxicity.score(docs, toxicity.learn(docs, read_table(spark, sf_dir, "labels"), scratch), scratch)
 
 
 def op6_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
