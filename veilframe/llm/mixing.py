@@ -2,10 +2,11 @@
 
 Sources, ordered by code point with null last, weigh 5, 2, 1, repeating, and share all words. A target stops at three times its
 source's size; the excess is shared again by weight until none is above. Targets are counted in blocks of equal numbers of
-words; blocks are allotted to sources by highest quotients target / (2 seats + 1), and a source's blocks to its shards by the
-same rule, with three times a shard's size as its ceiling. Within a shard documents are laid end to end in a seeded order, and
-the shard's quota is a window of that many words that starts at a seeded place and wraps around, so each document is taken at
-most three times over, whole or (at the window's two ends) in part.
+words; blocks are allotted to sources by highest quotients target / (2 seats + 1), and a source's words to its shards by the
+same rule, with three times a shard's size as its ceiling; so a source gets its target less one block at most, whatever its
+size. Within a shard documents are laid end to end in a seeded order and cut into blocks of as many words. What the quota exceeds whole
+rounds of the shard is taken from blocks in a seeded order of their own, the last of them in part, so each document is taken
+at most three times over, whole or in those of its words that lie in chosen blocks.
 
 Scale: word counts are made once and written; a shard holds a bounded number of documents of one source, so a source with a
 third of all rows only has more shards; the driver sees one row per shard. Nothing depends on the partitioning: shards and order
@@ -15,8 +16,11 @@ order and are told apart by their position there; an empty table gives an empty
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,11 +94,40 @@ def measure(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
-def mix(measured: DataFrame, seed: int = 7, shard_rows: int = 4096, most_shards: int = 200_000, blocks_per_source: int = 2_000) -> DataFrame:
+def block_order(seed: int, source: str | None, shard: int, blocks: int) -> tuple[int, int]:
+    """(a, b): block j of a shard is the one numbered (a j + b) mod blocks in its seeded order; a and blocks have no common factor."""
+    a, b = (int.from_bytes(hashlib.blake2b(f"{seed} {k} {shard} {source!r}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") % blocks for k in "ab")
+    while math.gcd(a, blocks) != 1:
+        a += 1
+    return a, b
+
+
+def shard_quotas(shards: dict[str | None, list[tuple[int, int]]], target: dict[str | None, float], block: int, seed: int) -> list[tuple]:
+    """``shards``: by source, (shard, words) in order. A row a shard: source, shard, ``full`` whole rounds, and for the rest the
+    blocks of the shard, their seeded order (a, b), how many are taken whole, and how many words of the next."""
+    names = list(target)
+    seats = sainte_lague([target[s] for s in names], round(sum(target.values()) / block), [CEILING * sum(w for _, w in shards[s]) // block for s in names])
+    out = []
+    for s, n in zip(names, seats):
+        own = shards[s]
+        got = sainte_lague([float(w) for _, w in own], n * block, [CEILING * w for _, w in own])
+        for (shard, words), quota in zip(own, got):
+            full, rest = divmod(quota, words) if words else (0, 0)
+            blocks = max(1, -(-words // block))
+            a, b = block_order(seed, s, shard, blocks)
+            lacking = blocks * block - words  # of the last block
+            short = (a * (blocks - 1) + b) % blocks
+            after = rest >= (short + 1) * block - lacking  # the last block is taken whole
+            whole = (rest + lacking * after) // block
+            out.append((s, shard, full, blocks, a, b, whole, rest + lacking * after - whole * block))
+    return out
+
+
+def mix(measured: DataFrame, seed: int = 7, shard_rows: int = 4096, most_shards: int = 200_000, most_block: int = 1_024, blocks_per_source: int = 2_000) -> DataFrame:
     """``measured``: rows of doc_id, source, size, print (and others, which are kept), in a written table.
 
-    Adds source_size, target, taken, and where the window lies: ``start`` and ``stop`` of the document in its shard, the
-    shard's ``full`` rounds, and ``window_from``, ``window_words``, ``shard_size`` of the part round.
+    Adds source_size, target, taken, ``full`` (how many times the whole document is taken) and ``parts``, the ranges of its words
+    (at, n) that are taken once more.
     """
     spark = measured.sparkSession
     per_source = measured.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
@@ -113,34 +146,28 @@ def mix(measured: DataFrame, seed: int = 7, shard_rows: int = 4096, most_shards:
     shard_sizes = placed.groupBy("source", "shard").agg(F.sum("size").alias("words")).collect()  # one row per shard_rows documents
 
     wanted = [t for t in target.values() if t > 0]
-    block = max(1, math.floor(min(wanted) / blocks_per_source)) if wanted else 1
-    names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    seats = sainte_lague([target[s] for s in names], round(sum(target.values()) / block), [CEILING * sizes[s] // block for s in names])
-    quota = []
-    for s, n in zip(names, seats):
-        own = sorted((r["shard"], r["words"]) for r in shard_sizes if r["source"] == s)
-        got = sainte_lague([float(w) for _, w in own], n, [CEILING * w // block for _, w in own])
-        quota += [(s, k, q * block, w) for (k, w), q in zip(own, got)]
-    quotas = spark.createDataFrame(
-        quota, T.StructType([T.StructField("q_source", T.StringType()), T.StructField("q_shard", T.IntegerType()), T.StructField("quota", T.LongType()), T.StructField("shard_size", T.LongType())])
-    )
+    block = max(1, min(most_block, math.floor(min(wanted) / blocks_per_source))) if wanted else 1
+    by_name: dict[str | None, list[tuple[int, int]]] = {s: [] for s in target}
+    for r in shard_sizes:
+        by_name[r["source"]].append((r["shard"], r["words"]))
+    quota = shard_quotas({s: sorted(own) for s, own in by_name.items()}, target, block, seed)
+    numbers = ("full", "blocks", "order_a", "order_b", "whole", "rest")
+    quotas = spark.createDataFrame(quota, T.StructType([T.StructField("q_source", T.StringType()), T.StructField("q_shard", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in numbers)]))
     side = F.broadcast(quotas) if len(quota) <= 100_000 else quotas
     placed = placed.join(side, F.col("source").eqNullSafe(F.col("q_source")) & (F.col("shard") == F.col("q_shard")), "left").drop("q_source", "q_shard")
     order = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "print"), "doc_id", "print").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = placed.withColumn("stop", F.sum("size").over(order)).withColumn("start", F.col("stop") - F.col("size"))
-    whole = F.greatest("shard_size", F.lit(1))
-    placed = (
-        placed.withColumn("full", F.floor(F.col("quota") / whole).cast("long"))
-        .withColumn("window_words", F.col("quota") - F.col("full") * F.col("shard_size"))
-        .withColumn("window_from", F.pmod(F.xxhash64(F.lit(seed + 2), "source", "shard"), whole))
+    # the ranges that chosen blocks have of the document; those of neighbouring blocks are one
+    number = "(order_a * j + order_b) % blocks"
+    upto = f"least(stop, j * {block}L + CASE WHEN {number} < whole THEN {block}L WHEN {number} = whole THEN rest ELSE 0L END)"
+    ranges = f"filter(transform(sequence(start div {block}, (stop - 1) div {block}), j -> named_struct('low', greatest(start, j * {block}L), 'high', {upto})), x -> x.high > x.low)"
+    joined = (
+        f"aggregate({ranges}, CAST(array() AS ARRAY<STRUCT<low: BIGINT, high: BIGINT>>), (p, x) -> if(size(p) > 0 AND element_at(p, -1).high = x.low,"
+        " concat(slice(p, 1, size(p) - 1), array(named_struct('low', element_at(p, -1).low, 'high', x.high))), concat(p, array(x))),"
+        " p -> transform(p, x -> named_struct('at', x.low - start, 'n', x.high - x.low)))"
     )
-
-    def overlap(low, high):
-        return F.greatest(F.lit(0), F.least("stop", high) - F.greatest("start", low))
-
-    end = F.col("window_from") + F.col("window_words")
-    part = overlap(F.col("window_from"), F.least(end, F.col("shard_size"))) + overlap(F.lit(0), F.greatest(end - F.col("shard_size"), F.lit(0)))
-    return placed.withColumn("taken", (F.col("full") * F.col("size") + part).cast("long"))
+    placed = placed.withColumn("parts", F.expr(f"CASE WHEN size > 0 THEN {joined} ELSE CAST(array() AS ARRAY<STRUCT<at: BIGINT, n: BIGINT>>) END"))
+    return placed.withColumn("taken", F.expr("full * size + aggregate(parts, 0L, (p, x) -> p + x.n)"))
 
 
 def plan(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -150,26 +177,31 @@ def plan(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def materialise(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The mix itself, with the columns of ``docs``: a row for each time a document is taken; where a window's end cuts a
-    document, the row holds those of its words that lie inside, joined by single spaces, and n_chars is theirs."""
+    """The mix itself, with the columns of ``docs``: a row for each time a document is taken; where blocks end inside a document, a
+    row holds those of its words that lie in neighbouring chosen blocks, joined by single spaces, and n_chars is theirs."""
     columns = docs.columns
+    # a source may be repeated in the rows of an id and text, so it tells rows apart as well
+    key = ("doc_id", "print", "source")
     measured = measure(docs, F.struct(*columns).alias("row"))
     light = scratch.save(measured.drop("row"), "sizes")
-    mixed = mix(light).where("taken > 0").select("doc_id", "print", "size", "start", "stop", "full", "window_from", "window_words", "shard_size")
-    # equal rows (same id, same text) are numbered on both sides, so that each meets its own place
-    twin = Window.partitionBy("doc_id", "print").orderBy("start")
-    mixed = mixed.withColumn("twin", F.row_number().over(twin)).withColumnRenamed("doc_id", "m_id").withColumnRenamed("print", "m_print").drop("size")
-    there = measured.withColumn("twin0", F.row_number().over(Window.partitionBy("doc_id", "print").orderBy(F.lit(1))))
-    joined = there.join(mixed, there["doc_id"].eqNullSafe(mixed["m_id"]) & (F.col("print") == F.col("m_print")) & (F.col("twin0") == F.col("twin")))
-    end = F.col("window_from") + F.col("window_words")
-    low = F.greatest(F.col("start"), F.col("window_from"))
-    high = F.least(F.col("stop"), F.least(end, F.col("shard_size")))
-    wrap = F.least(F.col("stop"), F.greatest(end - F.col("shard_size"), F.lit(0)))
-    pieces = F.concat(
-        F.array_repeat(F.struct(F.lit(0).cast("long").alias("at"), F.col("size").alias("n")), F.col("full").cast("int")),
-        F.array(F.struct((low - F.col("start")).cast("long").alias("at"), (high - low).cast("long").alias("n")), F.struct(F.lit(0).cast("long").alias("at"), (wrap - F.col("start")).cast("long").alias("n"))),
-    )
-    each = joined.select("row", "size", F.explode(F.filter(pieces, lambda p: p["n"] > 0)).alias("piece"))
+    mixed = scratch.save(mix(light).where("taken > 0").select(*(F.col(c).alias(f"m_{c}") for c in key), "start", "full", "parts"), "mix")
+    met = reduce(and_, (F.col(c).eqNullSafe(F.col(f"m_{c}")) for c in key))
+    # equal rows are numbered on both sides, so that each meets its own place; all others need no number
+    equal = scratch.save(light.where("size > 0").groupBy(*key).count().where("count > 1").select(*(F.col(c).alias(f"e_{c}") for c in key)), "equal")
+    few = equal.count()
+    side = F.broadcast(equal) if few <= 1_000_000 else equal  # checked; beyond it, by shuffle
+    again = lambda prefix: reduce(and_, (F.col(f"{prefix}{c}").eqNullSafe(F.col(f"e_{c}")) for c in key))
+    taken_rows = measured.where("size > 0")
+    if few:
+        joined = taken_rows.join(side, again(""), "left_anti").join(mixed.join(side, again("m_"), "left_anti"), met)
+        twin = lambda by, order: F.row_number().over(Window.partitionBy(*by).orderBy(order))
+        there = taken_rows.join(side, again(""), "left_semi").withColumn("twin", twin(key, F.lit(1)))
+        places = mixed.join(side, again("m_"), "left_semi").withColumn("m_twin", twin([f"m_{c}" for c in key], "start"))
+        joined = joined.unionByName(there.join(places, met & (F.col("twin") == F.col("m_twin"))).drop("twin", "m_twin"))
+    else:
+        joined = taken_rows.join(mixed, met)
+    pieces = F.concat(F.array_repeat(F.struct(F.lit(0).cast("long").alias("at"), F.col("size").alias("n")), F.col("full").cast("int")), F.col("parts"))
+    each = joined.select("row", "size", F.explode(pieces).alias("piece"))
     inside = F.array_join(F.slice(F.regexp_extract_all(F.col("row.text"), F.lit(WORD), F.lit(0)), F.col("piece.at").cast("int") + 1, F.col("piece.n").cast("int")), " ")
     text = F.when(F.col("piece.n") == F.col("size"), F.col("row.text")).otherwise(inside)
     taken = each.select("row", text.alias("new_text"))
