@@ -340,7 +340,42 @@ def test_languages_held_out(spark, docs):
 
 def test_no_letters_is_und(spark):
     filters = language.learn(spark.createDataFrame([(i, "some words here", "en") for i in range(50)], "doc_id long, text string, lang string"))
-    assert [filters.predict(t)[0] for t in (None, "", "12 34 !", "words")] == ["und", "und", "und", "en"]
+    assert [filters.predict(t)[0] for t in (None, "", "12 34 !", "\u00bd \u00b2 \u2462", "\u3007", "\u2160", "words")] == ["und"] * 6 + ["en"]
+
+
+@pytest.mark.parametrize("per_language", [1000, 20])
+def test_filters_equal_brute_force(spark, docs, texts, per_language):
+    rows = docs.selectExpr("doc_id", "lang", "xxhash64(doc_id, text) AS h").collect()
+    mine = {}
+    for r in rows:
+        if r.lang is not None and texts[r.doc_id] is not None and not held_out(r.doc_id):
+            mine.setdefault(r.lang, []).append((r.h, r.doc_id))
+    got = language.learn(docs, per_language)
+    assert got.languages == sorted(mine)
+    tables = {}
+    for lang, own in mine.items():
+        most = [x for x in sorted(own) if x[0] / 2.0**64 + 0.5 <= 4 * per_language / len(own)][:per_language]
+        counts = {}
+        for _, i in most:
+            for h in set(language.ngrams(texts[i]).tolist()):
+                counts[h] = counts.get(h, 0) + 1
+        least = 1 if len(most) < 20 else max(2, -(-len(most) * 5 // 1000))
+        tables[lang] = {s % (1 << 20) for h, n in counts.items() if n >= least for s in (h, h >> 20)}
+        k = got.languages.index(lang)
+        assert set(np.flatnonzero(got.table[0] >> np.uint8(k) & np.uint8(1)).tolist()) == tables[lang]
+        assert abs(got.chance[k] - (len(tables[lang]) / (1 << 20)) ** 2) < 1e-9
+    for i in sorted(texts)[:150]:
+        grams = language.ngrams(texts[i] or "").tolist()
+        hits = [sum(h % (1 << 20) in t and (h >> 20) % (1 << 20) in t for h in grams) for t in map(tables.get, got.languages)]
+        each = [max(0, (n - len(grams) * c) / (1 - c)) for n, c in zip(hits, got.chance)]
+        if any(map(str.isalpha, texts[i] or "")) and sum(each):
+            assert got.predict(texts[i]) == (got.languages[int(np.argmax(each))], pytest.approx(max(each) / sum(each)))
+
+
+def test_a_language_of_one_text_is_learned(spark):
+    rows = [(i, f"common english words {i}", "en") for i in range(60)] + [(101, "ganz anders klingt dies", "de"), *((1, "equal rows", "xx") for _ in range(5))]
+    filters = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert filters.predict("dies klingt anders")[0] == "de" and filters.predict("equal rows")[0] == ("xx" if not held_out(1) else "en")
 
 
 def test_more_than_eight_languages():

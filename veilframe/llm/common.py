@@ -125,5 +125,3 @@ def kinds_ordered(spans: list[tuple[str, int, int]], kinds: list[str]) -> str:
     rank = {k: i for i, k in enumerate(kinds)}
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (x[1], rank[x[0]], x[2])))
 
-
-LETTER = re.compile(r"[^\W\d_]")

@@ -4,11 +4,13 @@ The filters of all languages lie side by side in one bit-sliced Bloom filter: sl
 of an n-gram ANDs its slots, which gives the mask of all languages that contain it. A text's popcounts per language, less the
 hits that the filter's fill makes by chance, decide.
 
-Learning: at most ``per_language`` rows of each language (a documented bound: lowest hashes of the id), outside fold 0; an n-gram
-enters a language's filter when it occurs in at least ``least_share`` of that language's sampled texts, and in two. The filter has a fixed size and is
-what is sent to the workers. Prediction is one scan of every whole text, without a shuffle. Inputs are texts alone. Results:
-``und`` with score 0 for a null text or one without a letter, or when nothing was learned; ties go to the language whose name is
-first; repeated rows repeat their result.
+Learning: at most ``per_language`` different rows of each language (a documented bound: lowest hashes of id and text), outside
+fold 0; an n-gram enters a language's filter when it occurs in at least ``least_share`` of that language's sampled texts, and in two of them if there
+are FEW or more. Rows are first thinned by a threshold on their hash from the languages' counts, so that a
+language with a third of all rows sends no more to one task than any other. The filter has a fixed size and is
+what is sent to the workers; the driver gets its bits. Prediction is one scan of every whole text, without a shuffle. Inputs are texts alone. Results:
+``und`` with score 0 for a null text or one without a letter (str.isalpha), or when nothing was learned; ties go to the language whose name is
+first; equal rows are learned once, and repeated rows repeat their result.
 """
 
 from __future__ import annotations
@@ -16,12 +18,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LETTER, batch, fold, ids_and_texts, in_slices, spark_schema
+from .common import Scratch, batch, fold, ids_and_texts, in_slices, spark_schema
 
 BITS = 20  # slots are 2^BITS
 HASHES = 2
@@ -78,7 +79,7 @@ class Filters:
         return (found - len(hashes) * self.chance) / (1 - self.chance)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages or not LETTER.search(text):
+        if not text or not self.languages or not any(map(str.isalpha, text)):
             return UND, 0.0
         counts = np.maximum(self.counts(ngrams(text)), 0)
         total = counts.sum()
@@ -91,15 +92,25 @@ class Filters:
 COUNTED = pa.schema([("lang", pa.string()), ("hash", pa.int64())])
 
 
-def learn(docs: DataFrame, per_language: int = 1_000, least_share: float = 0.02) -> Filters:
+FEW = 20
+#: How many times ``per_language`` rows the threshold lets through, on average, to be ranked.
+MARGIN = 4
+
+
+def learn(docs: DataFrame, per_language: int = 1_000, least_share: float = 0.005) -> Filters:
     """``docs``: doc_id, text, lang. Learns from texts outside fold 0 with a language, at most ``per_language`` of each."""
     rows = ids_and_texts(docs, F.col("lang").cast("string").alias("lang")).where((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    # up to 1,000 rows, Spark keeps each task's lowest before the shuffle
-    lowest = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(lowest)).where(F.col("n") <= per_language)
-    sampled = {r["lang"]: r["count"] for r in chosen.groupBy("lang").count().collect()}  # one row a language
-    chosen = chosen.select("doc_id").distinct()
-    picked = rows.join(F.broadcast(chosen) if sum(sampled.values()) <= 500_000 else chosen, "doc_id", "left_semi")
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "text"))
+    # one row a language; there are few, as each has 2^BITS bits on the driver
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    # the lowest MARGIN * per_language / rows of all hashes
+    near = F.col("h") / 2.0**64 + 0.5 <= F.lit(float(MARGIN * per_language)) / F.col("rows")
+    thinned = rows.join(F.broadcast(counts), "lang").where(near)
+    each = thinned.groupBy("lang", "doc_id", "h").agg(F.min("text").alias("text"))
+    ranked = each.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("n") <= per_language)
+    scratch = Scratch(docs.sparkSession, "languages")
+    chosen = scratch.save(ranked.select("lang", "text"), "chosen")
+    sampled = chosen.groupBy("lang").agg(F.count(F.lit(1)).alias("sampled"))
 
     def run(batches):
         for b in in_slices(batches):
@@ -107,20 +118,23 @@ def learn(docs: DataFrame, per_language: int = 1_000, least_share: float = 0.02)
                 found = np.unique(ngrams(text)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found)], schema=COUNTED)
 
-    def filled(key, pdf):
-        own = np.zeros(1 << BITS, dtype=bool)
-        for s in slots(pdf["hash"].to_numpy()[pdf["count"].to_numpy() >= least_share * sampled[key[0]]].view(np.uint64)):
-            own[s] = True
-        return pd.DataFrame({"lang": [key[0]], "filter": [np.packbits(own).tobytes()]})
-
-    grams = picked.mapInArrow(run, spark_schema(COUNTED)).groupBy("lang", "hash").count().where("count >= 2")
-    filters = {r["lang"]: r["filter"] for r in grams.groupBy("lang").applyInPandas(filled, "lang string, filter binary").collect()}  # one filter a language
-    names = sorted(filters)
+    grams = chosen.mapInArrow(run, spark_schema(COUNTED)).groupBy("lang", "hash").agg(F.count(F.lit(1)).alias("texts"))
+    least = F.when(F.col("sampled") < FEW, 1).otherwise(F.greatest(F.lit(2), F.ceil(F.col("sampled") * least_share)))
+    kept = grams.join(F.broadcast(sampled), "lang").where(F.col("texts") >= least)
+    mask = (1 << BITS) - 1
+    slot = F.explode(F.array(*(F.shiftrightunsigned("hash", BITS * i).bitwiseAND(mask) for i in range(HASHES))))
+    bits = kept.select("lang", slot.alias("slot")).groupBy("lang", F.shiftright("slot", 6).alias("word"))
+    found = bits.agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")).alias("bits")).toPandas()  # at most 2^BITS / 64 rows a language
+    scratch.drop("chosen")
+    names = sorted(found["lang"].unique().tolist())
     width = 8 if len(names) <= 8 else 64
     table = np.zeros((max(1, -(-len(names) // width)), 1 << BITS), dtype=f"u{width // 8}")
     chance = np.zeros(len(names))
     for i, name in enumerate(names):
-        own = np.unpackbits(np.frombuffer(filters[name], dtype=np.uint8)).astype(bool)
+        own = np.zeros(1 << BITS - 6, dtype=np.int64)
+        mine = found[found["lang"] == name]
+        own[mine["word"].to_numpy()] = mine["bits"].to_numpy()
+        own = np.unpackbits(own.view(np.uint8), bitorder="little").astype(bool)
         table[i // width][own] |= table.dtype.type(1 << (i % width))
         chance[i] = min(0.999, float(own.mean()) ** HASHES)
     return Filters(names, table, width, chance)
