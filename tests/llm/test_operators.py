@@ -481,6 +481,35 @@ def test_missing_payload_keeps_its_place(spark):
     assert (row.position, row.payload_bytes) == (0, None)
 
 
+def test_whole_sequences_of_pages(spark, texts):
+    own = [texts[i] or "" for i in sorted(texts)[:20]]
+    payloads = [media.padded(t.encode()) for t in own]
+    digests = [hashlib.sha256(x).hexdigest() for x in payloads]
+    store = spark.createDataFrame([(d, bytearray(media.to_png(x))) for d, x in zip(digests[1:], payloads[1:])], "digest string, media binary")
+    rows = [(k, media.page_of(t, d) + f"<p>after {k}</p>") for k, (t, d) in enumerate(zip(own, digests))] + [(3, "other page of 3"), (3, "other page of 3"), (None, None)]
+    features = Scratch(spark, "m").save(media.read_back(store), "f")
+    got = {(r.page_id, r.n, len(r.sequence)): r.sequence for r in media.sequences_of(spark.createDataFrame(rows, "page_id long, html string"), features).collect()}
+    assert got[3, 2, 1][0].text == "other page of 3" and got[None, 1, 0] == []
+    for k, t in enumerate(own):
+        text, image, after = got[k, 1, 3]
+        assert (text.position, text.kind, text.text) == (0, "text", " ".join(t.split())) and (after.position, after.text) == (2, f"after {k}")
+        assert (image.position, image.reference, image.caption) == (1, f"media:{digests[k]}", f"{len(t)} code points")
+        assert image.payload_bytes == (len(payloads[k]) if digests[k] in digests[1:] else None)
+
+
+def test_pages_are_parsed_whole(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    html = {r.page_id: r.html for r in pages.collect()}
+    got = media.sequences_of(pages, spark.createDataFrame([], spark.createDataFrame([], "digest string, payload_bytes long").schema)).collect()
+    assert len(got) == len(html)
+    for r in got:
+        seen = [s.text for s in r.sequence]
+        assert [s.position for s in r.sequence] == list(range(len(seen))) and {s.kind for s in r.sequence} <= {"text"}
+        plain = re.sub(r"<script.*?</script>|<style.*?</style>|<head.*?</head>|<!--.*?-->", "", html[r.page_id] or "", flags=re.S)
+        words = media.html.unescape(re.sub(r"<[A-Za-z/!][^>]*>", " ", plain)).split()
+        assert "".join(" ".join(seen).split()) == "".join(words)
+
+
 def test_damaged_media_raises():
     png = bytearray(media.to_png(bytes(64)))
     png[-20] ^= 1

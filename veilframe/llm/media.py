@@ -5,10 +5,13 @@ figure keeps the figure's caption. Media payloads are stored once encoded, as 8-
 table keyed by the sha256 of the payload; what a reference needs of its payload is read back from the stored bytes and joined by
 digest, so positions and captions stay aligned with what they point to.
 
-Scale: payloads are never shuffled; only digests and features are joined, and a digest that a third of all rows share has one
-row on its side, which Spark's skew join may repeat. A worker stores equal payloads of a block once. Results: a null text counts
+``sequences_of`` gives whole sequences, runs of text and resolved references in their order, of any pages.
+
+Scale: payloads are never shuffled; only digests and features are joined, as two written tables, so that Spark's skew join can split
+a digest that a third of all rows share. A worker stores equal payloads of a block once. The query over documents keeps of
+each text run its place and length, as the text itself stands in the documents. Results: a null text counts
 as empty and gives 64 zero bytes; equal payloads give equal stored bytes and values; a reference without stored payload keeps
-its place with null features; an empty table gives an empty result.
+its place with null features; pages of equal id are told apart by their html, equal ones by nothing but their number; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, batch, ids_and_texts, in_slices, spark_schema
@@ -157,7 +160,8 @@ FEATURES = pa.schema(
 
 
 def read_back(store: DataFrame) -> DataFrame:
-    """``store``: digest, media. A row for each digest, from the stored bytes alone; wrong digests raise."""
+    """``store``: digest, media. A row for each digest, from the stored bytes alone; wrong digests raise. Callers write it down
+    before they join it, so that both sides of the join are plain exchanges."""
 
     def run(batches):
         for b in in_slices(batches):
@@ -184,15 +188,31 @@ def resolve(sequences: DataFrame, features: DataFrame) -> DataFrame:
     return named.join(features.withColumnRenamed("digest", "stored"), F.col("named") == F.col("stored"), "left").drop("stored").withColumnRenamed("named", "digest")
 
 
-def parse_pages(pages: DataFrame) -> DataFrame:
-    """``pages``: page_id, html. The ordered sequence of each page: page_id, sequence."""
-    out = pa.schema([("page_id", pa.int64()), ("sequence", SEQUENCE)])
+def parse_pages(pages: DataFrame, *more: str | Column) -> DataFrame:
+    """``pages``: page_id, html. The ordered sequence of each page: page_id, more columns of longs, sequence."""
+    light = pages.select(F.col("page_id").cast("long").alias("page_id"), *more, F.col("html").cast("string").alias("html"))
+    names = light.columns[:-1]
+    out = pa.schema([*((c, pa.int64()) for c in names), ("sequence", SEQUENCE)])
 
     def run(batches):
         for b in in_slices(batches):
-            yield batch(out, page_id=b.column("page_id"), sequence=[interleave(h) for h in b.column("html").to_pylist()])
+            yield batch(out, sequence=[interleave(h) for h in b.column("html").to_pylist()], **{c: b.column(c) for c in names})
+
+    return light.mapInArrow(run, spark_schema(out))
+
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).mapInArrow(run, spark_schema(out))
+def sequences_of(pages: DataFrame, features: DataFrame) -> DataFrame:
+    """``pages``: page_id, html. The whole sequence of each page, its references with their payload's features (see FEATURES; null
+    without stored payload): page_id, n (how many equal pages), sequence."""
+    named = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"))
+    mark = F.xxhash64("html").alias("mark")
+    each = parse_pages(named.groupBy("page_id", "html").agg(F.count(F.lit(1)).alias("n")), "n", mark)
+    apart = each.select("page_id", "mark", "n", F.explode_outer("sequence").alias("part"))
+    digest = F.when(F.startswith("part.reference", F.lit(SCHEME)), F.substring("part.reference", len(SCHEME) + 1, 64))
+    joined = apart.withColumn("named", digest).join(features, F.col("named") == F.col("digest"), "left")
+    element = F.struct("part.*", *(c for c in features.columns if c != "digest"))
+    whole = joined.groupBy("page_id", "mark", "n").agg(F.array_sort(F.collect_list(F.when(F.col("part").isNotNull(), element))).alias("sequence"))
+    return whole.select("page_id", "n", "sequence")
 
 
 def page_of(text: str, digest: str) -> str:
@@ -200,12 +220,12 @@ def page_of(text: str, digest: str) -> str:
     return f'<article><p>{html.escape(text, quote=False)}</p><figure><img src="{SCHEME}{digest}" alt="payload"><figcaption>{len(text)} code points</figcaption></figure></article>'
 
 
-STORED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("sequence", SEQUENCE), ("digest", pa.string()), ("media", pa.binary())])
+STORED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("text_runs", pa.int64()), ("text_chars", pa.int64()), ("sequence", SEQUENCE), ("digest", pa.string()), ("media", pa.binary())])
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
-    """Each text as a page with its media form: doc_id, n_bytes, the page's sequence of references (its text is not repeated),
-    digest, media (null where the block holds the same payload already)."""
+    """Each text as a page with its media form: doc_id, n_bytes, how many text runs the page has and their code points, the
+    page's sequence without the texts, digest, media (null where the block holds the same payload already)."""
 
     def run(batches):
         for b in in_slices(batches):
@@ -216,9 +236,10 @@ def store_texts(docs: DataFrame) -> DataFrame:
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 payload = padded(raw)
                 digest = hashlib.sha256(payload).hexdigest()
-                columns["n_bytes"].append(len(raw))
-                columns["sequence"].append([s for s in interleave(page_of(text or "", digest)) if s["kind"] == "media"])
-                columns["digest"].append(digest)
+                sequence = interleave(page_of(text or "", digest))
+                runs = [len(s["text"]) for s in sequence if s["kind"] == "text"]
+                for name, value in (("n_bytes", len(raw)), ("text_runs", len(runs)), ("text_chars", sum(runs)), ("sequence", [s | {"text": None} for s in sequence]), ("digest", digest)):
+                    columns[name].append(value)
                 columns["media"].append(None if digest in known else to_png(payload))
                 known.add(digest)
             yield batch(STORED, **columns)
@@ -227,8 +248,9 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
 
 def media_features(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The contract's columns, one row a document, from what was stored and read back."""
+    """The contract's columns, one row a document, from what was stored and read back; text_runs and text_chars of its page, and
+    position and caption of the reference to its payload."""
     store = scratch.save(store_texts(docs), "media")
-    features = read_back(store.where("media IS NOT NULL"))
-    shown = resolve(store.select("doc_id", "n_bytes", "sequence"), features)
-    return shown.select("doc_id", "n_bytes", *FEATURES.names[1:], "position", "caption")
+    features = scratch.save(read_back(store.where("media IS NOT NULL")), "features")
+    shown = resolve(store.select("doc_id", "n_bytes", "text_runs", "text_chars", "sequence"), features)
+    return shown.select("doc_id", "n_bytes", *FEATURES.names[1:], "text_runs", "text_chars", "position", "caption")
