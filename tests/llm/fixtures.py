@@ -21,7 +21,7 @@ TEXTS = [
 ]
 SCHEMA = "doc_id long, text string, lang string, source string"
 #: Names that the operators use inside.
-CLASHING = ("n", "cls", "key", "a", "b", "m", "base", "more", "row", "bin", "place", "size", "stop", "start", "shard", "score", "kept", "u", "digits", "spans", "text_", "grp")
+CLASHING = ("n", "cls", "key", "a", "b", "m", "base", "more", "row", "bin", "place", "size", "stop", "start", "shard", "score", "kept", "u", "digits", "spans", "text_", "grp", "mark", "gone_id", "gone_mark", "twice_id", "twice_mark", "m_id", "print", "m_print", "full", "parts", "uid", "total")
 
 
 def documents(spark, rows=None, clashing=True):

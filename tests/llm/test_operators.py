@@ -150,6 +150,22 @@ def test_components_equal_brute_force(spark, monkeypatch, seed, block):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
 
 
+def test_blocks_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    rng = random.Random(6)
+    rows = [(k, c, c, rng.choice((5, 8, 9, 10, 40, 49, 50, 51, 64, 600))) for k in (1, 2) for c in range(25)] + [(3, 1, 1, 5), (3, 2, 2, 5)]
+    sizes = {(k, c): n for k, c, _, n in rows}
+    frame = spark.createDataFrame([(*r, 25 if r[0] < 3 else 2) for r in rows], "key long, cls long, comp long, n long, m long")
+    groups = {}
+    for r in jaccard.paired_blocks(frame).collect():
+        assert r.blk in (r.bi, r.bj)
+        groups.setdefault((r.key, r.bi, r.bj), []).append((r.blk, r.cls))
+    met = [(k, *sorted((x, y))) for (k, i, j), own in groups.items() for a, x in own for b, y in own if x < y and (a != b or i == j)]
+    allowed = {(k, x, y) for (k, x) in sizes for (z, y) in sizes if k == z and x < y and 5 * min(sizes[k, x], sizes[k, y]) >= 4 * max(sizes[k, x], sizes[k, y])}
+    assert len(met) == len(set(met)) and allowed <= set(met)
+    assert not any((k, *sorted((x, y))) in met for k in (1, 2) for (a, x), n in sizes.items() for (b, y), m in sizes.items() if a == b == k and n == 5 and m == 600)
+
+
 def test_tree_loses_no_pair():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 400, rng.integers(5, 300)).astype(np.uint64)) for _ in range(150)]

@@ -10,8 +10,8 @@ Documents are classes of equal shingle sets (5 words, A-Z lower-cased); two clas
 4. For each shingle whose classes are not all of one component, a signature tree is built over its classes: nodes hold the OR
    and the AND of their bitmaps, the range of sizes, and the component if it is one. A dual traversal of the tree with itself
    drops node pairs whose largest possible overlap is too small, or that are of one component; what reaches the leaves is
-   compared exactly, shingle by shingle. Shingles with more than BLOCK classes are cut into blocks ordered by size, and pairs of blocks are
-   traversed by different tasks.
+   compared exactly, shingle by shingle. Shingles with more than BLOCK classes are cut into blocks of classes of like size, and pairs of blocks
+   whose sizes allow a link are traversed by different tasks.
 5. Components by alternating large-star and small-star steps over written tables.
 
 Nothing is capped: the tree only drops pairs that cannot link, or whose link changes no component. Equal sets are classes named by
@@ -412,6 +412,33 @@ def tree_pairs(members: DataFrame) -> DataFrame:
     return members.mapInArrow(run, spark_schema(LINKS))
 
 
+#: Sizes of one band differ by less than this factor. Sizes that link differ by 1.25 at most, so they are of one band or of neighbours.
+BAND = 1.3
+
+
+def paired_blocks(members: DataFrame) -> DataFrame:
+    """``members``: key, cls, comp, n, m. A row for each pair of blocks of a shingle that a class belongs to: key, bi, bj, blk, cls,
+    comp, n. Shingles of at most BLOCK classes are one block; of others each band of sizes is cut into blocks by hash."""
+    one = F.lit(0).cast("long")
+    small = members.where(F.col("m") <= BLOCK).select("key", one.alias("bi"), one.alias("bj"), one.alias("blk"), "cls", "comp", "n")
+    banded = members.where(F.col("m") > BLOCK).withColumn("band", F.floor(F.ln("n") / float(np.log(BAND))).cast("long"))
+    counts = banded.groupBy("key", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    # how many blocks the band below, the band itself and the band above have
+    near = counts.select("key", F.explode(F.array(*(F.struct((F.col("band") + d).alias("band"), F.lit(-d).alias("side"), "blocks") for d in (-1, 0, 1)))).alias("x"))
+    near = near.groupBy("key", "x.band").agg(*(F.coalesce(F.max(F.when(F.col("x.side") == d, F.col("x.blocks"))), F.lit(0)).alias(f"n{d + 1}") for d in (-1, 0, 1)))
+    met = banded.join(near, ["key", "band"])
+    code = lambda band, k: F.shiftleft(band, 32) + k
+
+    def blocks_of(d: int) -> Column:
+        listed = F.transform(F.sequence(F.lit(0), F.col(f"n{d + 1}") - 1), lambda k: code(F.col("band") + d, k))
+        return F.when(F.col(f"n{d + 1}") > 0, listed).otherwise(F.array().cast("array<bigint>"))
+
+    partners = F.flatten(F.array(*map(blocks_of, (-1, 0, 1))))
+    own = code(F.col("band"), F.pmod(F.xxhash64("cls"), F.col("n1")))
+    dealt = met.withColumn("blk", own).withColumn("other", F.explode(partners))
+    return small.unionByName(dealt.select("key", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "cls", "comp", "n"))
+
+
 def join(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, n_shingles and component_id, a row for each row of ``docs``."""
     return placed_rows(docs, scratch).select("doc_id", "n_shingles", "component_id")
@@ -453,19 +480,18 @@ def placed_rows(docs: DataFrame, scratch: Scratch) -> DataFrame:
     members = parted.join(mixed, "key").join(info.select("cls", "n"), "cls")
     leaves = members.where(F.col("m") <= LEAF).select("key", "cls", "comp", "n").repartition("key").sortWithinPartitions("key")
     from_leaves = scratch.save(leaf_pairs(leaves).distinct(), "leaf-pairs")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    larger = members.where(F.col("m") > LEAF).withColumn("blk", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    larger = larger.select("key", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "cls", "comp", "n")
+    larger = paired_blocks(members.where(F.col("m") > LEAF))
     grouped = larger.join(info.select("cls", F.col("sign").alias("bits")), "cls").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
     from_trees = scratch.save(tree_pairs(grouped).distinct(), "tree-pairs")
     candidates = scratch.save(plausible(from_leaves.unionAll(from_trees).distinct(), info), "candidates")
     links = verified(candidates, docs, named, scratch, "links").unionAll(star_links)
     comp = scratch.save(components(links, scratch, "c2"), "comp2")
 
-    # the smallest id of each component, back to the rows
-    classes = named.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    smallest = classes.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    placed = classes.join(smallest, "comp").select(F.col("cls").alias("c"), "comp", "component_id")
+    # the smallest id of each component, back to the rows; written, so that joins by a large component or class can be split
+    classes = scratch.save(named.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "classes")
+    smallest = scratch.save(classes.groupBy("comp").agg(F.min("rep").alias("component_id")), "smallest")
+    placed = scratch.save(classes.join(smallest, "comp").select(F.col("cls").alias("c"), "comp", "component_id"), "placed")
+    scratch.drop("sampled", "live", "central", "info", "star-pairs", "stars", "leaf-pairs", "tree-pairs", "candidates", "links", "classes", "smallest")
     rows = sets.select("doc_id", "mark", F.col("n").alias("n_shingles"), "cls")
     joined = rows.where("cls IS NOT NULL").join(placed, F.col("cls") == F.col("c")).select("doc_id", "mark", "n_shingles", F.nullif("component_id", F.lit(NO_ID)).alias("component_id"), "comp")
     return joined.unionAll(rows.where("cls IS NULL").select("doc_id", "mark", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("comp")))
@@ -507,16 +533,25 @@ def keep_one(docs: DataFrame, scratch: Scratch) -> DataFrame:
     its own text. Rows of equal id and equal text are copies, of which one stays; other texts without words are no copies of
     each other."""
     found = scratch.save(placed_rows(docs, scratch).select("doc_id", "mark", "comp"), "components")
+    scratch.drop("sets-only", "placed")
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("mark"))
     first = found.where("comp IS NOT NULL").groupBy("comp").agg(F.min(row).alias("first"), F.max(row).alias("last")).where("first <> last")
-    others = found.join(first, "comp").where(row != F.col("first"))
-    dropped = scratch.save(others.select(F.col("doc_id").alias("dropped_id"), F.col("mark").alias("dropped_mark")).distinct(), "dropped")
+    others = found.join(scratch.save(first.select("comp", "first"), "first"), "comp").where(row != F.col("first"))
+
+    def fresh(name: str) -> str:
+        """A name that no column of ``docs`` has."""
+        while name in docs.columns:
+            name += "_"
+        return name
+
+    gone_id, gone_mark, twice_id, twice_mark = map(fresh, ("gone_id", "gone_mark", "twice_id", "twice_mark"))
+    dropped = scratch.save(others.select(F.col("doc_id").alias(gone_id), F.col("mark").alias(gone_mark)).distinct(), "dropped")
     side = F.broadcast(dropped) if dropped.count() <= 1_000_000 else dropped  # checked; beyond it, by shuffle
-    mark = mark_of(docs)
-    kept = docs.join(side, docs["doc_id"].cast("long").eqNullSafe(F.col("dropped_id")) & (mark == F.col("dropped_mark")), "left_anti")
-    twice = scratch.save(found.groupBy("doc_id", "mark").count().where("count > 1").select(F.col("doc_id").alias("twice_id"), F.col("mark").alias("twice_mark")), "twice")
+    kept = docs.join(side, docs["doc_id"].cast("long").eqNullSafe(F.col(gone_id)) & (mark_of(docs) == F.col(gone_mark)), "left_anti")
+    twice = scratch.save(found.groupBy("doc_id", "mark").count().where("count > 1").select(F.col("doc_id").alias(twice_id), F.col("mark").alias(twice_mark)), "twice")
+    scratch.drop("components", "first")
     if twice.isEmpty():
         return kept
-    repeated = kept["doc_id"].cast("long").eqNullSafe(F.col("twice_id")) & (mark_of(kept) == F.col("twice_mark"))
+    repeated = kept["doc_id"].cast("long").eqNullSafe(F.col(twice_id)) & (mark_of(kept) == F.col(twice_mark))
     again = kept.join(twice, repeated, "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.join(twice, repeated, "left_anti").unionByName(again)
