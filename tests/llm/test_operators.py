@@ -45,6 +45,13 @@ def test_trigram_queries_are_necessary():
     assert secrets.trigram_query("[0-9a-f]+") is True
 
 
+def test_fixed_repeats_are_no_exact_runs():
+    for pattern, text in ((r"x[ab]{4}y", "xabbay"), (r"k(ab){5}z", "kababababab" + "z"), (r"[0-9]{3}-q", "123-q"), (r"a{7}b{2}", "aaaaaaabb")):
+        assert re.fullmatch(pattern, text)
+        q = secrets.trigram_query(pattern)
+        assert 0 in secrets.BlockIndex([text.encode(), b"nothing"], secrets.trigrams(q)).candidates(q, 2).tolist()
+
+
 def test_secrets_equal_brute_force(texts):
     rows = [t or "" for _, t in both(texts)] + ["password=secret=abcdefgh TOKEN:12345 token: 123456", "İpassword: ſecret=abcdefg"]
     for text, spans in zip(rows, secrets.scan_block(rows)):
@@ -82,6 +89,24 @@ def test_forest_rejects_odd_rows_and_keeps_good(spark, docs):
     assert bad.anomaly.median() > good.anomaly.quantile(0.99)
 
 
+def test_path_lengths_equal_a_walk():
+    rng = np.random.default_rng(2)
+    rows = rng.normal(size=(300, 4))
+    forest = quality.grow(rows, rows.min(axis=0), rows.max(axis=0), trees=7, subsample=64, seed=1)
+    new = rng.normal(size=(50, 4)) * 2
+    harmonic = lambda n: sum(1 / k for k in range(1, n))
+    for x, score in zip(new, forest.scores(new)):
+        total = 0.0
+        for feature, cut, length in zip(forest.feature, forest.cut, forest.length):
+            at, steps = 0, 0
+            while feature[at] >= 0:
+                at, steps = 2 * at + 1 + int(x[feature[at]] >= cut[at]), steps + 1
+            assert length[at] >= steps  # and what a search among the rows left there would need
+            total += length[at]
+        assert score == pytest.approx(2 ** (-total / 7 / forest.norm))
+    assert forest.norm == pytest.approx(2 * harmonic(64) - 2 * 63 / 64, rel=0.01)
+
+
 def test_threshold_comes_from_both_labels():
     class Given:
         scores = staticmethod(lambda x: x)
@@ -280,6 +305,17 @@ def test_packing_is_whole_and_tight(spark, docs, group_rows):
     assert got.sequence_id.nunique() <= 1.03 * -(-got.length.sum() // packing.CAPACITY) + 2
 
 
+def test_bins_left_behind_lose_nothing(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, 0, 0, rng.choice((2048, 1500, 1300, 1100, 1030, 600, 300, 90, 40)), 0) for i in range(3000)]
+    scratch = Scratch(spark, "p")
+    items = scratch.save(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long"), "items")
+    count = lambda: packing.pack(items, Scratch(spark, "q"), group_rows=5).select("sequence_id").distinct().count()
+    some, plain = count(), packing._merger
+    monkeypatch.setattr(packing, "_merger", lambda capacity, level, carry: plain(capacity, level, 10**9))
+    assert some <= 1.01 * count() + 1
+
+
 # ---- personal data
 
 

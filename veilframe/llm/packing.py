@@ -2,9 +2,13 @@
 
 Documents are encoded, ended with an id of their own, and only those longer than a sequence are cut. Groups of pieces, dealt by
 a hash, are packed best-fit in descending order of length. Nearly full bins are final; underfull bins go up a tree as items,
-sixteen groups to one, and are packed best-fit again, until one group is left. After a best-fit round at most one bin of a group
-is at most half full, so only that and the ``CARRY`` emptiest of the others go up, and every group of the tree stays small; a bin
-that does not go up is final as it is, and no piece is ever left out.
+sixteen groups to one, and are packed best-fit again, until one group is left. No piece is ever left out.
+
+Every group of the tree stays small, and nothing is lost by it. After a best-fit round at most one bin of a group is at most half
+full (two would be one), and two others never fit together. So a round has at most FAN_IN light bins to place, and fills at
+most as many others. Of these others FAN_IN * (levels + 1) go up, the emptiest; any bin that stays behind has, at every later
+level, at least FAN_IN unfilled ones in the tree that are as empty as it is, so a light bin that fits one left behind
+fits one that went up.
 
 Encoding is a narrow scan; what is shuffled is a few numbers a piece. Results: a null text counts as empty and still has its end
 id; repeated rows are packed each for itself; an empty table gives an empty result.
@@ -26,7 +30,6 @@ from .tokens import encoder
 CAPACITY = 2048
 GROUP_ROWS = 50_000
 FAN_IN = 16
-CARRY = 64
 NEARLY_FULL = 16  # tokens of free space that a final bin may have
 INDEX_BITS = 24
 
@@ -75,12 +78,12 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets
 
 
-def _merger(capacity: int, level: int):
+def _merger(capacity: int, level: int, carry: int):
     """One round of the tree: which bins of a group go up, and where each lies in its new bin."""
 
     def merge(key, pdf):
         half = pdf["load"] * 2 <= capacity
-        emptiest = pdf[~half].sort_values(["load", "bin"]).groupby("level_group").head(CARRY)
+        emptiest = pdf[~half].sort_values(["load", "bin"]).groupby("level_group").head(carry)
         up = pd.concat([pdf[half], emptiest]).sort_values(["load", "bin"], ascending=[False, True], kind="stable").reset_index(drop=True)
         bins, offsets = best_fit(up["load"].to_numpy(), capacity)
         return up.assign(parent=(level << 56) + (int(key[0]) << INDEX_BITS) + bins, shift=offsets)[["bin", "load", "parent", "shift"]]
@@ -91,6 +94,10 @@ def _merger(capacity: int, level: int):
 def pack(items: DataFrame, scratch: Scratch, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
     """``items``: a written table with doc_id, piece, length, ids_crc32 (and others). Adds sequence_id and offset."""
     groups = max(1, -(-items.count() // group_rows))
+    levels, left = 0, groups
+    while left > 1:
+        left, levels = -(-left // FAN_IN), levels + 1
+    carry = FAN_IN * (levels + 1)
     own = items.schema
 
     def first(key, pdf):
@@ -108,7 +115,7 @@ def pack(items: DataFrame, scratch: Scratch, capacity: int = CAPACITY, group_row
         groups, level = -(-groups // FAN_IN), level + 1
         candidates = loads.where(F.col("load") <= capacity - NEARLY_FULL)
         merged = scratch.save(
-            candidates.withColumn("up", F.floor(F.col("level_group") / FAN_IN).cast("long")).groupBy("up").applyInPandas(_merger(capacity, level), "bin long, load long, parent long, shift long"), f"level{level}"
+            candidates.withColumn("up", F.floor(F.col("level_group") / FAN_IN).cast("long")).groupBy("up").applyInPandas(_merger(capacity, level, carry), "bin long, load long, parent long, shift long"), f"level{level}"
         )
         moved = merged.select(F.col("bin").alias("child"), "parent", "shift")
         packed = (

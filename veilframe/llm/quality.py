@@ -8,7 +8,7 @@ scores that reject at most ``max_good_rejected`` of the good rows, the one of be
 
 Statistics use every whole text. There is no shuffle: one scan with the few labelled ids broadcast (a proven bound), then one
 scan that scores. Results: a null or empty text has no words and fails the base rules; without labelled rows only the base
-rules decide; repeated rows repeat their result.
+rules decide; of labelled rows that share an id the one of the least statistics is learned; repeated rows repeat their result.
 """
 
 from __future__ import annotations
@@ -171,8 +171,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, trees: i
             found = [statistics(t) for t in b.column("text").to_pylist()]
             yield batch(out, doc_id=b.column("doc_id"), quality=b.column("quality"), failed=[base_failed(s) for s, _ in found], features=[list(f) for _, f in found])
 
-    rows = ids_and_texts(docs).join(F.broadcast(chosen), "doc_id").mapInArrow(run, spark_schema(out)).where("NOT failed").toPandas()
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
+    # of rows that share an id, the one of the least statistics
+    judged = ids_and_texts(docs).join(F.broadcast(chosen), "doc_id").mapInArrow(run, spark_schema(out)).where("NOT failed")
+    rows = judged.groupBy("doc_id").agg(F.min(F.struct("features", "quality")).alias("r")).select("doc_id", "r.*").toPandas().sort_values("doc_id")
     x, good = np.array(rows["features"].tolist(), dtype=float).reshape(len(rows), len(FEATURES)), rows["quality"].to_numpy() >= 1
     if good.sum() < 2:
         return None

@@ -141,7 +141,7 @@ def _info(tree) -> Info:
                 items.append(Info(inner.exact | {b""}, True) if once else Info(None, True))
             else:
                 items += [inner] * min(low, 3)
-                if high > low:
+                if high > low or low > 3:  # more copies stand before what follows
                     items.append(Info(None, True))
         elif op is sre.AT:
             continue

@@ -9,9 +9,10 @@ block each entry stores how many bytes its key shares with the one before, the r
 unsigned integers of the footer's width; a crc32 ends the block. The index has each block's first key, place and length. A lookup
 asks the Bloom filter, bisects the index and reads one block.
 
-Documents are dealt to shards by range of the id and sorted there; each task streams one shard to a name of its own attempt and
-then renames it, so a repeated task writes the same file again. The manifest (a row a shard) is a written table; places of
-documents among all ids follow from its running sum. Results: a null text counts as empty; rows of equal id follow each other,
+Documents are dealt to shards by range of the id and sorted there; each task streams one shard to a name of its own attempt, and
+the manifest (a row a shard, a written table) has that of the attempt that Spark took, so a task that is repeated, or runs
+twice at once, never touches a file that is read. Places of
+documents among all ids follow from the manifest's running sum. Results: a null text counts as empty; rows of equal id follow each other,
 ordered by a hash of the text; null ids come first; an empty table makes no shard and an empty result.
 """
 
@@ -190,10 +191,12 @@ MANIFEST = pa.schema([("shard", pa.int32()), ("uri", pa.string()), ("first_id",
 ROWS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def write_shards(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int, docs_per_shard: int = 8192) -> DataFrame:
-    """Writes shards under ``scratch`` and returns the manifest, ordered by ``shard``; ``scratch`` must be shared."""
+def write_shards(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int, docs_per_shard: int = 8192, shard_bytes: int = 256 << 20) -> DataFrame:
+    """Writes shards under ``scratch`` and returns the manifest, ordered by ``shard``; ``scratch`` must be shared. A shard has about
+    ``shard_bytes`` of text, or ``docs_per_shard`` documents where that gives at most four shards a core."""
     light = ids_and_texts(docs)
-    n = max(1, -(-light.select("doc_id").count() // docs_per_shard))
+    size = light.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    n = max(1, -(-size.bytes // shard_bytes), min(-(-size.n // docs_per_shard), 4 * docs.sparkSession.sparkContext.defaultParallelism))
     root = scratch.path("shards")
     dealt = light.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
 
@@ -204,13 +207,13 @@ def write_shards(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int,
         shard, encode = task.partitionId(), encoder(tokenizer).encode
         fs, place = _filesystem(root)
         fs.create_dir(place, recursive=True)
-        final, own = f"{place}/{shard:07d}.sst", f"{place}/.{shard:07d}.{task.taskAttemptId()}"
+        name = f"{shard:07d}-{task.taskAttemptId()}.sst"
         end = end_id.to_bytes(4, "little")
         writer, out, last, ordinal, first = None, None, None, 0, None
         for b in in_slices(batches):
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 if writer is None:
-                    out = fs.open_output_stream(own)
+                    out = fs.open_output_stream(f"{place}/{name}")
                     writer, first = ShardWriter(out, 2 if encoder(tokenizer).whole.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4), doc_id
                     ordinal = 0
                 else:
@@ -220,8 +223,7 @@ def write_shards(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int,
         if writer is not None:
             writer.finish()
             out.close()
-            fs.move(own, final)
-            yield batch(MANIFEST, shard=[shard], uri=[f"{root}/{shard:07d}.sst"], first_id=[first], n_docs=[len(writer.keys)], n_tokens=[writer.n_tokens])
+            yield batch(MANIFEST, shard=[shard], uri=[f"{root}/{name}"], first_id=[first], n_docs=[len(writer.keys)], n_tokens=[writer.n_tokens])
 
     return scratch.save(dealt.mapInArrow(run, spark_schema(MANIFEST)), "manifest")
 
