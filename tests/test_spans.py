@@ -87,3 +87,37 @@ def test_unknown_placeholder(spark):
     known = spark.createDataFrame([("ANN", "Ann", "[PERSON_0]")], "key string, sensitive string, placeholder string")
     got = M.restore(frame(spark, ["[PERSON_0] [ORG_9]"]), known).first().restored
     assert got == "Ann <SECRET_NOT_FOUND-[ORG_9]>"
+
+
+def test_gate_judges_each_row_by_its_own_text(spark):
+    from veilframe.operators import mappings as M
+
+    known = spark.createDataFrame([("ANN LEE", "Ann Lee", "PERSON", 1, 0, "[PERSON_0]")], "key string, sensitive string, type string, first_seen long, id long, placeholder string")
+    rows = spark.createDataFrame([(1, "hi ann lee"), (None, "hi ann lee"), (None, "none of it"), (1, "hi"), (1, None), (2, "{{ann lee}}")], "k long, text string")
+    passed, held = M.gate(rows, known, "k")
+    assert {(r.k, r.text) for r in held.collect()} == {(1, "hi ann lee"), (None, "hi ann lee")}
+    assert {(r.k, r.text) for r in passed.collect()} == {(None, "none of it"), (1, "hi"), (1, None), (2, "{{ann lee}}")}
+    assert M.reset(known).count() == 0 and M.reset(known).columns == known.columns
+
+
+def test_known_values_alike_by_every_way(spark, monkeypatch):
+    from veilframe.operators import mappings as M
+
+    values = [("ANN LEE", "PERSON", 1), ("X\\EY", "ORG", 1), ("A", "ORG", 9), ("A LONG VALUE OF MANY WORDS", "MISC", 2), ("", "MISC", 1)]
+    known = spark.createDataFrame(values, "key string, type string, first_seen long")
+    rows = spark.createDataFrame([(1, "hi ann lee"), (None, "ANN LEEANN LEE"), (3, "xx x\\ey x\\ey"), (3, "a long value of many words, a long value of"), (4, None), (5, "")], "k long, text string")
+    found = []
+    for by_join, most in ((64, 50_000), (0, 50_000), (0, 0)):
+        monkeypatch.setattr(M, "BROADCAST_VALUES", most)
+        found.append(sorted((str(r.k), r.key, r.type, r.occurrence) for r in M.known_values(rows, known, "k", by_join=by_join).collect()))
+    assert found[0] == found[1] == found[2] and ("None", "ANN LEE", "PERSON", 2) in found[0]
+
+
+def test_gazetteer_finds_every_whole_word(spark):
+    from veilframe.operators.ner import Gazetteer, post_filter
+
+    names = spark.createDataFrame([("Ann", "PER"), ("a+b", "ORG"), ("", "LOC")], "name string, entity_group string")
+    texts = spark.createDataFrame([(1, "Annual Ann Ann, Ann_ (Ann) a+b xa+b"), (2, None)], "text_id long, text string")
+    groups = Gazetteer(names).spans(texts)
+    assert sorted((r.start, r.end, r.entity_group) for r in groups.collect()) == [(7, 10, "PER"), (11, 14, "PER"), (22, 25, "PER"), (27, 30, "ORG")]
+    assert post_filter(groups).count() == 4

@@ -133,8 +133,8 @@ def set_texts(body: Column, updates: Column) -> Column:
     return put(body, updates)
 
 
-def inject_prompt(body: Column, prompt: str) -> Column:
-    """Adds a prompt to ``system``: absent or empty, it is the prompt; a string gets it after a blank line; a list gets a text
+def inject_prompt(body: Column, prompt: str, url: Column | None = None, pattern: str = ".*") -> Column:
+    """Adds a prompt to ``system``, where the whole ``url`` matches ``pattern`` and the prompt is not empty: absent or empty, it is the prompt; a string gets it after a blank line; a list gets a text
     block. A body that ends with it already, or with another kind of ``system``, is unchanged."""
 
     def put(text: str | None) -> str | None:
@@ -159,4 +159,6 @@ def inject_prompt(body: Column, prompt: str) -> Column:
     def inject(bodies: pd.Series) -> pd.Series:
         return bodies.map(put)
 
-    return inject(body)
+    if not prompt:
+        return body
+    return inject(body) if url is None else F.when(F.regexp_like(url, F.lit(f"^(?:{pattern})$")), inject(body)).otherwise(body)

@@ -56,6 +56,10 @@ def identifiers(words: Column, least: int = 6, most: int = 40) -> Column:
     return F.when(F.size(kept) >= least, F.slice(kept, 1, most))
 
 
+#: Long strings, strings, comments to the end of the line, and comments between marks.
+STRIPPED = r"""(?s)\"{3}.*?\"{3}|'{3}.*?'{3}|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|(?:#|//)[^\n]*|/\*.*?\*/"""
+
+
 def strip_code(text: Column) -> Column:
-    """Drops comments and string literals of C-like and Python-like code."""
-    return F.regexp_replace(text, r"""(?s)/\*.*?\*/|//[^\n]*|#[^\n]*|"(?:\\.|[^"\\\n])*+"|'(?:\\.|[^'\\\n])*+'""", " ")
+    """Drops comments and string literals of C-like and Python-like code, triple-quoted ones before plain ones."""
+    return F.regexp_replace(text, STRIPPED.replace(")*", ")*+"), " ")

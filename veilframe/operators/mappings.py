@@ -42,6 +42,11 @@ def assign(found: DataFrame, order: list[str], scope: list[str] | None = None, a
     )
 
 
+def reset(known: DataFrame) -> DataFrame:
+    """A mapping that knows nothing, for the next request of a replay."""
+    return known.limit(0)
+
+
 def dump(known: DataFrame) -> DataFrame:
     return known.select("key", "placeholder")
 
@@ -94,29 +99,45 @@ def known_values(rows: DataFrame, known: DataFrame, key: str, earlier_than: str
     only where it was first seen before.
 
     Up to ``by_join`` values meet the texts in a broadcast join by containment. More are searched at once, in one pass over each
-    text, by an automaton built in each task from a broadcast list of checked size; beyond BROADCAST_VALUES, in slices.
+    text, by an automaton built in each task from a broadcast list of checked size. Beyond BROADCAST_VALUES, texts and values
+    meet in a join on the values' first characters, and what meets is verified.
     """
     values = known.where("length(key) > 0").select("key", "type", "first_seen")
     n = values.count()
     upper = rows.select(F.col(key).alias("__id"), F.upper("text").alias("__up"))
     if n <= by_join:
         hits = upper.join(F.broadcast(values), F.contains("__up", F.col("key")))
-        # occurrences are the gaps between them, less one; the value is quoted as a pattern
-        places = F.expr("sequence(1, size(split(__up, concat('\\\\Q', key, '\\\\E'), -1)) - 1)")
-        found = hits.select("__id", "key", "type", "first_seen", F.explode(places).alias("occurrence"))
+        found = hits.select("__id", "key", "type", "first_seen", F.explode(_places()).alias("occurrence"))
+    elif n <= BROADCAST_VALUES:
+        found = _searched(upper, values).join(values, "key")
     else:
-        slices = -(-n // BROADCAST_VALUES)
-        parts = [values.where(F.pmod(F.xxhash64("key"), F.lit(slices)) == i) for i in range(slices)] if slices > 1 else [values]
-        each = [_searched(upper, part) for part in parts]
-        found = each[0]
-        for more in each[1:]:
-            found = found.unionAll(more)
-        found = found.join(values, "key")
+        texts = upper.withColumn("__row", F.struct("__id", F.xxhash64("__up")))
+        pairs = _met(texts, values).join(values, "key")
+        found = texts.join(pairs, "__row").where(F.contains("__up", F.col("key"))).select("__id", "key", "type", "first_seen", F.explode(_places()).alias("occurrence"))
     if earlier_than:
         found = found.where(F.col("first_seen") < F.col("__id"))
     return found.select(F.col("__id").alias(key), "key", "type", "occurrence")
 
 
+#: Most characters of a value that its join with the texts goes by.
+ANCHOR = 12
+
+
+def _places() -> Column:
+    """Occurrences are the gaps between them, less one; the value is quoted as a pattern."""
+    return F.expr("sequence(1, size(split(__up, concat('\\\\Q', replace(key, '\\\\E', '\\\\E\\\\\\\\E\\\\Q'), '\\\\E'), -1)) - 1)")
+
+
+def _met(texts: DataFrame, values: DataFrame) -> DataFrame:
+    """``texts``: __row, __up. Pairs (__row, key) of texts that hold a value's first ANCHOR characters, or all of a shorter one.
+    Each different run of as many characters of a text is a row of the join, for the lengths that values have (12 at most)."""
+    anchored = values.select("key", F.substring("key", 1, ANCHOR).alias("__gram"))
+    lengths = [r[0] for r in anchored.select(F.length("__gram")).distinct().collect()]
+    runs = lambda k: F.when(F.length("__up") >= k, F.transform(F.sequence(F.lit(1), F.length("__up") - (k - 1)), lambda i: F.substring(F.col("__up"), i, F.lit(k))))
+    grams = F.array_distinct(F.flatten(F.array_compact(F.array(*map(runs, sorted(lengths))))))
+    return texts.select("__row", F.explode(grams).alias("__gram")).join(anchored, "__gram").select("__row", "key").distinct()
+
+
 def _searched(upper: DataFrame, values: DataFrame) -> DataFrame:
     """All places of the values (at most BROADCAST_VALUES) in ``__up``: __id, key, occurrence."""
     words = [r["key"] for r in values.select("key").collect()]
@@ -147,13 +168,19 @@ def _searched(upper: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def leaks(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """``rows``: key, text. Adds ``leaked``: the known values that the text still holds outside {{exempt}} braces."""
-    bare = rows.select(key, F.regexp_replace(F.coalesce("text", F.lit("")), r"(?s)\{\{.*?\}\}", "").alias("text"))
-    found = known_values(bare, known.where(~F.col("key").isin(*WHITELIST) & ~F.col("key").rlike(f"^{S.TOKEN}$")), key)
-    return rows.join(found.groupBy(key).agg(F.collect_set("key").alias("leaked")), key, "left").withColumn("leaked", F.coalesce("leaked", F.expr("CAST(array() AS ARRAY<STRING>)")))
+    """``rows``: key, text. Adds ``leaked``: the known values that the text still holds outside {{exempt}} braces.
+
+    Rows are told apart by key and text, whatever these are: a row whose key is null or repeated is judged by its own text. A
+    null text holds nothing.
+    """
+    own = rows.withColumn("__judged", F.struct(F.col(key), F.xxhash64("text")))
+    bare = own.select("__judged", F.regexp_replace(F.coalesce("text", F.lit("")), r"(?s)\{\{.*?\}\}", "").alias("text")).distinct()
+    found = known_values(bare, known.where(~F.col("key").isin(*WHITELIST) & ~F.col("key").rlike(f"^{S.TOKEN}$")), "__judged")
+    hits = found.groupBy("__judged").agg(F.collect_set("key").alias("leaked"))
+    return own.join(hits, "__judged", "left").drop("__judged").withColumn("leaked", F.coalesce("leaked", F.expr("CAST(array() AS ARRAY<STRING>)")))
 
 
 def gate(rows: DataFrame, known: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Rows that pass, and rows held back: what leaks, or could not be judged, never passes."""
+    """Rows that pass, and rows held back: a row passes only when its own text was judged and holds no known value."""
     judged = leaks(rows, known, key)
-    return judged.where("size(leaked) = 0").drop("leaked"), judged.where("size(leaked) <> 0 OR leaked IS NULL")
+    return judged.where("size(leaked) = 0").drop("leaked"), judged.where("size(leaked) <> 0")

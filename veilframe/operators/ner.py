@@ -19,15 +19,27 @@ class SpanProvider(Protocol):
 
 
 class Gazetteer:
-    """A provider from a list of names: every whole-word occurrence of a listed name is a group of full score."""
+    """A provider from a list of names: every whole-word occurrence of a listed name, from the left and without overlap with
+    itself, is a group of full score; no letter, digit or underscore stands beside it."""
+
+    #: Up to so many names are broadcast; more are a matter of mappings.known_values.
+    MOST = 10_000
 
     def __init__(self, names: DataFrame) -> None:
-        """``names``: name, entity_group; a configured list, so it is broadcast."""
-        self.names = names
+        """``names``: name, entity_group; a configured list, whose size is checked before it is broadcast."""
+        self.names = names.where("length(name) > 0")
 
     def spans(self, texts: DataFrame) -> DataFrame:
-        words = texts.select("text_id", "text").join(F.broadcast(self.names), F.contains("text", F.col("name")))
-        start = F.call_function("locate", F.col("name"), F.col("text")) - 1
+        if self.names.limit(self.MOST + 1).count() > self.MOST:
+            raise ValueError(f"a gazetteer holds at most {self.MOST} names")
+        hits = texts.select("text_id", "text").join(F.broadcast(self.names), F.contains("text", F.col("name")))
+        quoted = F.concat(F.lit(r"\Q"), F.replace("name", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+        gaps = hits.withColumn("gaps", F.split("text", F.concat(F.lit(r"(?<![\p{L}\p{N}_])"), quoted, F.lit(r"(?![\p{L}\p{N}_])")), -1))
+        # a hit begins where the gaps and the names before it end
+        before = F.aggregate(F.slice("gaps", F.lit(1), F.col("i") + 1), F.lit(0), lambda a, g: a + F.length(g))
+        each = gaps.where("size(gaps) > 1").withColumn("i", F.explode(F.sequence(F.lit(0), F.size("gaps") - 2)))
+        start = before + F.col("i") * F.length("name")
+        words = each
         return words.select("text_id", F.lit(0).alias("chunk_no"), F.col("text").alias("chunk_text"), F.lit(0).alias("offset"), "entity_group", F.lit(1.0).alias("score"), start.alias("start"), (start + F.length("name")).alias("end"))
 
 

@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import pandas_udf
 
+from ..functions.spans import Finder
+
+# Fixed values of the format.
 CACHE_VERSION = 5
+#: A word that may end an address: a dot or none, two to six letters, at most one closing mark.
+ADDRESS_END = r"^\.?[a-zA-Z]{2,6}[)>.,;:!?\s]?$"
 #: Marks beside which recognised spaces are dropped; around . and _ only next to word characters.
 TIGHT = "@/:,-<>()[]{}"
 
@@ -130,7 +135,7 @@ def extend_over_tld(boxed: DataFrame, placed: DataFrame, id: str, gap: int = 15)
     def step(s, x):
         ended = s["done"] | (x["start"] < F.col("e_stop"))
         far = x["left"] - s["right"] > gap
-        hit = x["text"].rlike(r"^\.?[a-zA-Z]{2,6}[)>.,;:!?\s]?$")
+        hit = x["text"].rlike(ADDRESS_END)
         grown = F.struct(F.greatest(s["right"], x["right"]).alias("right"), F.least(s["top"], x["top"]).alias("top"), F.greatest(s["bottom"], x["bottom"]).alias("bottom"), F.lit(True).alias("done"))
         stopped = F.struct(s["right"].alias("right"), s["top"].alias("top"), s["bottom"].alias("bottom"), F.lit(True).alias("done"))
         return F.when(ended, s).when(far, stopped).when(hit, grown).otherwise(s)
@@ -150,3 +155,19 @@ def outside(lax: DataFrame, standard: DataFrame, *keys: str) -> DataFrame:
 
 def cached(cache: DataFrame, version: int = CACHE_VERSION) -> DataFrame:
     return cache.where(F.col("version") == version)
+
+
+_LOCAL = r"\p{L}\p{N}_.%+-"
+_PART = r"[\s().-]?[0-9]{2,4}"
+# What counts as an address or a number in recognised text.
+#: Shapes for recognised text, looser than the standard finders': addresses that lost their dots; numbers with a country's prefix,
+#: with a leading zero, with an area in brackets, or in three groups; no digit stands beside a number.
+LAX = (
+    Finder("EMAIL", rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[\p{{L}}\p{{N}}_.-]{{2,}}+", needs="instr(text, '@') > 0"),
+    Finder(
+        "PHONE",
+        rf"(?<![0-9])(?:\+[0-9]{{1,3}}(?:[0-9]{{6,12}}|[\s.-]?\(?[0-9]{{1,4}}\)?(?:{_PART}){{1,3}})|0[0-9]{{1,4}}(?:[0-9]{{6,10}}|(?:{_PART}){{2,4}})"
+        r"|\([0-9]{2,4}\)[\s.-]?[0-9]{3,4}[\s.-]?[0-9]{4}|[0-9]{2,4}[\s-][0-9]{3,4}[\s-][0-9]{3,4})(?![0-9])",
+        needs="text rlike '[0-9]'",
+    ),
+)

@@ -34,15 +34,17 @@ def objects(reply: str) -> list[str]:
 
 
 def last_valid(reply: str | None) -> str:
-    """The last object of a reply that parses and has every needed field, as JSON; a cautious default without one."""
+    """The last object of a reply that parses and has every needed field, as JSON; a cautious default without one. Replies are
+    untrusted: a field that should be a list and is none counts as an empty one."""
+    listed = lambda x: x if isinstance(x, list) else []
     for piece in reversed(objects(reply or "")):
         try:
             found = json.loads(piece)
-        except ValueError:
+        except (ValueError, RecursionError):
             continue
         if all(k in found for k in NEEDED):
-            names = [x.get("text", "") if isinstance(x, dict) else str(x) for x in found["false_positives"] or []]
-            missed = [{"text": str(x.get("text", "")), "type": str(x.get("type", ""))} for x in found["missed_entities"] or [] if isinstance(x, dict)]
+            names = [str(x.get("text", "")) if isinstance(x, dict) else str(x) for x in listed(found["false_positives"])]
+            missed = [{"text": str(x.get("text", "")), "type": str(x.get("type", ""))} for x in listed(found["missed_entities"]) if isinstance(x, dict)]
             return json.dumps({"correct": bool(found["correct"]), "false_positives": names, "missed_entities": missed, "confidence": str(found.get("confidence", "low"))}, ensure_ascii=False)
     return DEFAULT
 

@@ -46,17 +46,17 @@ TESTS = {
 NAMED = dict(zip(TESTS, S.STRUCTURED))
 
 
-def found_sql(names: list[str], source: str = TEXTS, key: str = "doc_id", text: str = "text") -> str:
-    """Rows k (row), key, ord, type, start, stop, entity, from gaps and matches."""
+def found_sql(names: list[str | S.Finder], source: str = TEXTS, key: str = "doc_id", text: str = "text") -> str:
+    """Rows k (row), key, ord, type, start, stop, entity, from gaps and matches; a finder given as such has no test."""
     parts = []
     for i, name in enumerate(names):
-        f = NAMED[name]
+        f = name if isinstance(name, S.Finder) else NAMED[name]
         p = "'" + (f.plain or f.pattern) + "'"
         parts.append(
             f"SELECT k, {key}, {i} AS ord, '{f.type}' AS type, n, m, g, coalesce(right(g, 1), '') AS b, coalesce(left(h, 1), '') AS a FROM (SELECT k, {key}, unnest(regexp_extract_all(t, {p})) AS m,"
             f" unnest(string_split_regex(t, {p})[:-2]) AS g, unnest(string_split_regex(t, {p})[2:]) AS h, generate_subscripts(regexp_extract_all(t, {p}), 1) AS n FROM src)"
         )
-    tests = " ".join(f"WHEN {i} THEN {TESTS[name]}" for i, name in enumerate(names))
+    tests = " ".join(f"WHEN {i} THEN {'true' if isinstance(name, S.Finder) else TESTS[name]}" for i, name in enumerate(names))
     return f"""(WITH src AS (SELECT row_number() OVER () AS k, {key}, coalesce({text}, '') AS t FROM ({source})),
 raw AS ({' UNION ALL '.join(parts)}),
 placed AS (SELECT *, CAST(sum(length(g) + length(m)) OVER (PARTITION BY k, ord ORDER BY n) AS BIGINT) AS stop FROM raw)
@@ -145,7 +145,10 @@ def redact(spark, sf_dir):
     return done.select("doc_id", F.md5("redacted").alias("redacted_md5"))
 
 
-@query(f"SELECT doc_id, md5(redacted) AS redacted_md5 FROM {_redacted_sql(chr(39) + '[' + chr(39) + ' || r.type || ' + chr(39) + ']' + chr(39))}")
+TYPED = _redacted_sql("'[' || r.type || ']'")
+
+
+@query(f"SELECT doc_id, md5(redacted) AS redacted_md5 FROM {TYPED}")
 def redact_typed(spark, sf_dir):
     return resolved(spark, sf_dir).select("doc_id", F.md5(S.typed(F.col("text"), F.col("spans"))).alias("redacted_md5"))
 
@@ -179,15 +182,22 @@ def leak_check(spark, sf_dir):
     return M.leaks(done, known, "doc_id").select("doc_id", F.size("leaked").cast("long").alias("n_leaks"), (F.size("leaked") > 0).alias("blocked"))
 
 
+#: Rows whose id is null or repeated, of which some leak.
+_GATED = "(SELECT * FROM (VALUES (CAST(NULL AS BIGINT), 'to ann@example.org'), (NULL, 'to nobody'), (-1, 'nothing here'), (-9, 'ANN@example.org')) AS g(doc_id, text))"
+
+
 @query(
-    f"""WITH v AS (SELECT key FROM {ASSIGNED} WHERE id % 3 = 0)
-SELECT count(*) FILTER (WHERE NOT hit) AS n_pass, count(*) FILTER (WHERE hit) AS n_quarantined FROM (SELECT doc_id, bool_or(v.key IS NOT NULL) AS hit FROM ({TEXTS}) t LEFT JOIN v ON contains(upper(regexp_replace(coalesce(text, ''), '(?s)\\{{\\{{.*?\\}}\\}}', '', 'g')), v.key) GROUP BY doc_id)"""
+    f"""WITH v AS MATERIALIZED (SELECT key FROM {ASSIGNED} WHERE key NOT IN ('CLAUDE', 'CLAUDE CODE', 'CLAUDE COWORK', 'ANTHROPIC')), t AS (SELECT row_number() OVER () AS k, doc_id, text FROM ({TEXTS} UNION ALL SELECT doc_id, text FROM {_GATED})),
+hit AS (SELECT DISTINCT k FROM t JOIN v ON contains(upper(regexp_replace(coalesce(text, ''), '(?s)\\{{\\{{.*?\\}}\\}}', '', 'g')), v.key))
+SELECT coalesce(CAST(doc_id AS VARCHAR), 'none') AS doc, CASE WHEN hit.k IS NULL THEN 'pass' ELSE 'quarantine' END AS gate, count(*) AS n FROM t LEFT JOIN hit USING (k) GROUP BY 1, 2"""
 )
 def leak_gate(spark, sf_dir):
-    """Raw texts against every third known value: what leaks goes to quarantine, fail closed."""
-    known = assigned(spark, sf_dir).where("id % 3 = 0")
-    passed, held = M.gate(texts(spark, sf_dir), known, "doc_id")
-    return passed.agg(F.count(F.lit(1)).alias("n_pass")).crossJoin(held.agg(F.count(F.lit(1)).alias("n_quarantined")))  # two single rows
+    """Raw texts against all known values: what leaks goes to quarantine."""
+    rows = texts(spark, sf_dir).unionByName(spark.sql(f"SELECT doc_id, text FROM {_GATED}"))
+    passed, held = M.gate(rows, assigned(spark, sf_dir), "doc_id")
+    doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("none")).alias("doc")
+    both = passed.select(doc, F.lit("pass").alias("gate")).unionAll(held.select(doc, F.lit("quarantine").alias("gate")))
+    return both.groupBy("doc", "gate").agg(F.count(F.lit(1)).alias("n"))
 
 
 KNOWN = f"""SELECT t.doc_id, a.key, CAST((length(upper(t.text)) - length(replace(upper(t.text), a.key, ''))) / length(a.key) AS BIGINT) AS n FROM ({TEXTS}) t JOIN {ASSIGNED} a ON contains(upper(t.text), a.key)"""

@@ -16,12 +16,14 @@ JUDGED = """SELECT * FROM (VALUES
  (3, 'The server 10.0.0.1 of Globex is down', 'server:MISC|Globex:ORGANIZATION', 'broken {"correct": true'),
  (4, 'He said that Initech, not Umbrella...', 'He:PERSON|Initech:ORG|Umbrella:ORG', '{"correct": false, "false_positives": ["Umbrella", "Nowhere"], "missed_entities": [{"text": "Hal", "type": "PERSON"}], "confidence": "low"}'),
  (5, 'Rome and rome and Rome again', 'Rome:LOC|rome:LOC|Rome:LOC', '{"correct": false, "false_positives": ["rome", "absent"], "missed_entities": [{"text": "again", "type": "THING"}], "confidence": "high"} {"correct": 1}'),
- (6, 'nothing here', '', 'no json at all')) AS f(id, text, ents, reply)"""
+ (6, 'nothing here', '', 'no json at all'),
+ (7, 'Odd replies', '', '{"correct": true, "false_positives": 5, "missed_entities": "none", "confidence": 1}'),
+ (8, 'Odder', '', '{"correct": 0, "false_positives": [{"text": 3}, null], "missed_entities": [1, {"type": "ORG"}]}')) AS f(id, text, ents, reply)"""
 _PARSED = """[{"correct": false, "false_positives": ["Bob"], "missed_entities": [{"text": "Paris", "type": "PLACE"}], "confidence": "high"}"""
 #: What parsing must give, stated by hand: the oracle cannot match braces.
 VERDICTS = """SELECT * FROM (VALUES
  (1, false, 'Bob', 'Paris:PLACE', 'high'), (2, true, '', 'joe@example.org:EMAIL|Joe Doe:PER', 'medium'), (3, false, '', '', 'low'),
- (4, false, 'Umbrella|Nowhere', 'Hal:PERSON', 'low'), (5, false, 'rome|absent', 'again:THING', 'high'), (6, false, '', '', 'low')) AS v(id, correct, fps, missed, confidence)"""
+ (4, false, 'Umbrella|Nowhere', 'Hal:PERSON', 'low'), (5, false, 'rome|absent', 'again:THING', 'high'), (6, false, '', '', 'low'), (7, true, '', '', '1'), (8, false, '3|None', ':ORG', 'low')) AS v(id, correct, fps, missed, confidence)"""
 
 
 def _pairs(column: str):
@@ -289,10 +291,12 @@ def fn_identifier_filter(spark, sf_dir):
     return kept.where("ids IS NOT NULL").select("doc_id", F.array_join("ids", " ").alias("ids"))
 
 
-@query()
+_CODE = """SELECT * FROM (VALUES (1, 'x = 1  # note' || chr(10) || 'y = "a # b"'), (2, '/* c */ int a = 2; // d' || chr(10) || 'char *s = "e \\" f";'), (3, 'd = \"\"\"one' || chr(10) || 'two "x" \"\"\" + name'), (4, 's = ' || repeat(chr(39), 3) || 'a' || chr(10) || repeat(chr(39), 3) || ' z'), (5, 'open " end'), (6, '')) AS f(id, code)"""
+
+
+@query("SELECT * FROM (VALUES (1, 'x = 1   ' || chr(10) || 'y =  '), (2, '  int a = 2;  ' || chr(10) || 'char *s =  ;'), (3, 'd =   + name'), (4, 's =   z'), (5, 'open \" end'), (6, '')) f(id, bare)")
 def fn_strip_code(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "x = 1  # note\ny = 'a # b'\n"), (2, '/* c */ int a = 2; // d\nchar *s = "e";')], "id int, code string")
-    return rows.select("id", T.strip_code(F.col("code")).alias("bare"))
+    return spark.sql(_CODE.replace("\\", "\\\\")).select("id", T.strip_code(F.col("code")).alias("bare"))
 
 
 @query("SELECT part, count(*) AS n, min(doc_id) AS lo, max(doc_id) AS hi FROM (SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY doc_id) <= floor((SELECT count(*) FROM documents) * 0.8) THEN 'train' ELSE 'test' END AS part FROM documents) GROUP BY part")

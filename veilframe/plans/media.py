@@ -12,7 +12,7 @@ from ..operators import ocr as O
 from ..sources import bodies as B
 from ..sources import records
 from ..streaming import events as E
-from .detection import TEXTS, assigned, resolved, texts
+from .detection import TESTS, TEXTS, assigned, found_sql, resolved, texts
 from .registry import query, table
 
 #: Words of two images with their boxes.
@@ -117,25 +117,30 @@ def fn_remap_offsets(spark, sf_dir):
     return t.select("id", o["start"].alias("start"), o["stop"].alias("stop"))
 
 
-#: E-mail shapes that allow for recognition errors: looser than the standard finder.
-LAX = (S.Finder("EMAIL", r"[A-Za-z0-9._%+-]++\x20?@\x20?[A-Za-z0-9.-]+"), S.Finder("PHONE", r"\+?[0-9][0-9 ().-]{7,18}[0-9]"))
+#: Recognised text: what the looser shapes find in it, stated by hand.
+_READ = """SELECT * FROM (VALUES (1, 'mail finance@company or joe@examplecom, not a@b'), (2, 'tel 0612345678 and 06 12 34 56 78.'), (3, 'call +33 6 12 34 56 78 or (643) 555 2043'), (4, '643-555-2043 or 643 555-2043'),
+ (5, 'ids 12345678 1643-555-20431 2024-01-02 1.234'), (6, 'é.ü@straße-a x'), (7, ''), (8, CAST(NULL AS VARCHAR(9))), (9, '+16435552043 +33(0)612345678')) AS f(id, text)"""
 
 
-@query()
+@query(
+    """SELECT * FROM (VALUES (1, 5, 20, 'EMAIL', 'finance@company'), (1, 24, 38, 'EMAIL', 'joe@examplecom'), (2, 4, 14, 'PHONE', '0612345678'), (2, 19, 33, 'PHONE', '06 12 34 56 78'),
+ (3, 5, 19, 'PHONE', '+33 6 12 34 56'), (3, 26, 40, 'PHONE', '(643) 555 2043'), (4, 0, 12, 'PHONE', '643-555-2043'), (4, 16, 28, 'PHONE', '643 555-2043'), (6, 0, 12, 'EMAIL', 'é.ü@straße-a'), (9, 0, 12, 'PHONE', '+16435552043'), (9, 13, 28, 'PHONE', '+33(0)612345678')) f(id, start, stop, type, entity)"""
+)
 def find_ocr_lax(spark, sf_dir):
-    return S.entities(S.find(texts(spark, sf_dir), LAX), "doc_id")
+    found = S.entities(S.find(spark.sql(_READ), O.LAX), "id")
+    return found.select("id", F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"), "type", "entity")
 
 
-@query(
-    f"""WITH RECURSIVE std AS (SELECT doc_id, t AS start, t + 4 AS stop FROM (SELECT doc_id, 10 * (doc_id % 3) AS t FROM documents)), lax AS (SELECT doc_id, 10 AS start, 13 AS stop FROM documents UNION ALL SELECT doc_id, 11, 25 FROM documents)
-SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM lax WHERE NOT EXISTS (SELECT 1 FROM std WHERE std.doc_id = lax.doc_id AND std.start <= lax.start AND lax.stop <= std.stop)"""
-)
+#: Runs of digits with separators, which addresses and cards are inside of, or are.
+_RUNS = S.Finder("RUN", r"[0-9][0-9 .-]{5,}[0-9]")
+
+
+@query(f"SELECT doc_id, l.start, l.stop FROM {found_sql([_RUNS])} l WHERE NOT EXISTS (SELECT 1 FROM {found_sql(list(TESTS))} s WHERE s.k = l.k AND s.start <= l.start AND l.stop <= s.stop)")
 def join_span_containment(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id")
-    at = 10 * (F.col("doc_id") % 3)
-    std = d.select("doc_id", at.alias("start"), (at + 4).alias("stop"))
-    lax = d.select("doc_id", F.lit(10).cast("long").alias("start"), F.lit(13).cast("long").alias("stop")).unionAll(d.select("doc_id", F.lit(11).cast("long"), F.lit(25).cast("long")))
-    return O.outside(lax, std, "doc_id")
+    """Loose spans that no standard one contains."""
+    t = texts(spark, sf_dir)
+    lax, standard = S.entities(S.find(t, (_RUNS,)), "doc_id"), S.entities(S.find(t), "doc_id")
+    return O.outside(lax.select("doc_id", "start", "stop"), standard.select("doc_id", "start", "stop"), "doc_id")
 
 
 @query("SELECT * FROM (VALUES ('i1', 'one', 0, 0, 9, 5), ('i1', 'two', 12, 0, 20, 6), ('i2', 'a line', 0, 0, 50, 8)) f(image_id, text, x0, y0, x1, y1)")
@@ -147,11 +152,16 @@ def src_ocr_result(spark, sf_dir):
     return O.regions_of(results, "image_id").select("image_id", "text", F.col("left").alias("x0"), F.col("top").alias("y0"), F.col("right").alias("x1"), F.col("bottom").alias("y1"))
 
 
-@query("SELECT page_id, sha256(html) AS sha, 5 AS version FROM pages WHERE page_id % 2 = 1")
+@query("SELECT page_id, sha256(html) AS sha, CASE WHEN kept THEN length(html) ELSE -1 END AS chars, CASE WHEN kept THEN md5(html) ELSE '' END AS lines_md5 FROM (SELECT *, bool_or(page_id % 2 = 1) OVER (PARTITION BY html) AS kept FROM pages)")
 def src_image_cache(spark, sf_dir):
-    """A cache keyed by digest, of which only the current version counts."""
-    p = table(spark, sf_dir, "pages").select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("sha"), F.when(F.col("page_id") % 2 == 1, 5).otherwise(4).alias("version"))
-    return O.cached(p)
+    """Recognised lines kept by digest: what the current version holds is restored, what an older one held is not."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "html", F.sha2(F.col("html").cast("binary"), 256).alias("sha"))
+    version = F.when(F.col("page_id") % 2 == 1, O.CACHE_VERSION).otherwise(O.CACHE_VERSION - 1).alias("version")
+    path = records.scratch_path(spark, "image-cache")
+    pages.select("sha", version, F.split("html", "\n", -1).alias("lines")).write.json(path)
+    kept = O.cached(spark.read.schema("sha string, version int, lines array<string>").json(path))
+    lines = kept.groupBy("sha").agg(F.array_join(F.first("lines"), "\n").alias("text"))
+    return pages.join(lines, "sha", "left").select("page_id", "sha", F.coalesce(F.length("text").cast("long"), F.lit(-1)).alias("chars"), F.coalesce(F.md5("text"), F.lit("")).alias("lines_md5"))
 
 
 @query("SELECT page_id, sha256(html) AS sha FROM pages")
@@ -231,10 +241,15 @@ def ner_dedupe_overlap(spark, sf_dir):
     return N.once(N.post_filter(groups(spark))).select("text_id", "start", "stop", "entity", "type", "chunk_no")
 
 
-@query("SELECT doc_id AS text_id, CAST(instr(text, 'All rights reserved') - 1 AS INT) AS start, 'ORG' AS entity_group FROM documents WHERE contains(text, 'All rights reserved')")
+@query(
+    """WITH d AS (SELECT row_number() OVER () AS k, doc_id AS text_id, string_split(text, 'the') AS g FROM documents WHERE contains(text, 'the')),
+e AS (SELECT k, text_id, unnest(g[:-2]) AS before, unnest(g[2:]) AS after, generate_subscripts(g[:-2], 1) AS n FROM d),
+p AS (SELECT *, CAST(sum(length(before) + 3) OVER (PARTITION BY k ORDER BY n) - 3 AS INT) AS start, lead(after, 0) OVER (PARTITION BY k ORDER BY n) AS a FROM e)
+SELECT text_id, start, 'ORG' AS entity_group FROM p WHERE NOT regexp_matches(before, '[\\p{L}\\p{N}_]$') AND NOT regexp_matches(after, '^[\\p{L}\\p{N}_]') AND (n = 1 OR before <> '')"""
+)
 def ner_infer(spark, sf_dir):
-    """The default provider: a list of names, here one phrase that documents hold."""
-    names = spark.createDataFrame([("All rights reserved", "ORG")], "name string, entity_group string")
+    """The default provider: a list of names, here one short word that also stands inside others."""
+    names = spark.createDataFrame([("the", "ORG"), ("not in any text", "PER")], "name string, entity_group string")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
     return N.Gazetteer(names).spans(docs).select("text_id", F.col("start").cast("int").alias("start"), "entity_group")
 
@@ -273,9 +288,18 @@ def src_training_jsonl(spark, sf_dir):
     return records.load_training(spark, path).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).cast("long").alias("chars"))
 
 
-@query("SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents) WHERE n <= 5")
+_BARE_CODE = "regexp_replace(text, '" + T.STRIPPED.replace("'", "''") + "', ' ', 'g')"
+
+
+@query(
+    f"""WITH d AS (SELECT lang, doc_id, list_filter(regexp_extract_all({_BARE_CODE}, '[^ \t\n\r\f]+'), lambda w: regexp_matches(w, '^[A-Za-z_][A-Za-z0-9_]{{1,}}$')) AS ids FROM documents WHERE text IS NOT NULL)
+SELECT lang, doc_id, array_to_string(ids[1:40], ' ') AS ids FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM d WHERE len(ids) >= 6) WHERE n <= 500"""
+)
 def src_code_corpus(spark, sf_dir):
-    return records.per_language(table(spark, sf_dir, "documents").select("lang", "doc_id"), "lang", "doc_id", 5)
+    """Texts as code: strings and comments go, identifiers stay, and a language gives its first 500 files (a sampling operator)."""
+    d = table(spark, sf_dir, "documents").select("lang", "doc_id", T.identifiers(T.tokens(T.strip_code(F.col("text")))).alias("ids"))
+    first = records.per_language(d.where("ids IS NOT NULL"), "lang", "doc_id", 500)
+    return first.select("lang", "doc_id", F.array_join("ids", " ").alias("ids"))
 
 
 @query("SELECT lang, CAST(count(*) AS BIGINT) AS n, CAST(min(len) AS BIGINT) AS least FROM (SELECT lang, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f]+')) AS len FROM documents) WHERE len > 0 GROUP BY lang")
@@ -349,10 +373,10 @@ def srt_latest(spark, sf_dir):
     return table(spark, sf_dir, "events").agg(F.max_by("event_id", "ts").alias("newest"))
 
 
-@query()
+@query("SELECT doc_id FROM documents ORDER BY md5('42-' || doc_id), doc_id LIMIT 200")
 def lim_cap_shuffle(spark, sf_dir):
     """A seeded shuffle, then a cap (a sampling operator): the lowest hashes."""
-    return table(spark, sf_dir, "documents").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(42)), "doc_id").limit(200)
+    return table(spark, sf_dir, "documents").select("doc_id").orderBy(F.md5(F.concat(F.lit("42-"), F.col("doc_id").cast("string"))), "doc_id").limit(200)
 
 
 @query("SELECT doc_id FROM documents ORDER BY doc_id LIMIT 3")
@@ -399,11 +423,12 @@ def redact_image_json(spark, sf_dir):
     return B.base64_images(B.put_images(rows, images, "id"), "id").select("id", F.decode("image", "UTF-8").alias("image"))
 
 
-@query("SELECT 'leak' AS reason, count(*) AS n FROM documents WHERE doc_id % 10 = 3")
+@query(f"SELECT 'leak' AS reason, count(DISTINCT k) AS n, min(doc_id) AS first FROM {RESOLVED}")
 def snk_error_dump(spark, sf_dir):
+    """Texts with anything to hide go to the dead-letter table, with the reason."""
     path = records.scratch_path(spark, "quarantine")
-    records.quarantine(table(spark, sf_dir, "documents").where("doc_id % 10 = 3").select("doc_id", F.lit("leak").alias("reason")), path)
-    return spark.read.schema("doc_id long, reason string").json(path).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    records.quarantine(resolved(spark, sf_dir).where("size(spans) > 0").select("doc_id", F.lit("leak").alias("reason")), path)
+    return spark.read.schema("doc_id long, reason string").json(path).groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
 
 
 # ---- streams -------------------------------------------------------------------------------------------------------------

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import jsonpath as J
+from ..functions import spans as S
 from ..functions import text as T
+from ..operators import mappings as M
 from ..operators import routing as R
 from ..sources import records
 from ..sources import rules as rules_file
+from . import detection as D
 from .registry import query, table
 
 #: An invented rule file with comments, among them signs inside strings.
@@ -17,7 +20,7 @@ RULES_TEXT = r"""{
   "known_safe_routes": ["https?://[a-z0-9.-]+/[a-z]+/1[0-9]*", "https?://[a-z0-9.-]+/"],
   "anxious_filter_domains": [".*"],
   /* denied, whatever else matches */
-  "blocked_urls": [{"url_pattern": "https?://[a-z0-9.-]+/[a-z]+/[0-9]*7"}],
+  "blocked_urls": [{"url_pattern": "https?://[a-z0-9.-]+/[a-z]+/[0-9]*7"}, {"url_pattern": "https://deny.example/en/17"}],
   "anonymise": {
     "requests": [
       {"url_pattern": "https?://[a-z0-9.-]+/[a-z]+/2[0-9]*", "sensitive_fields": [".messages[].content[].text"]},
@@ -66,13 +69,38 @@ def flt_default_deny(spark, sf_dir):
     return R.decide(urls(spark, sf_dir), rules(spark), "page_id").where("decision = 'unknown'").select("page_id")
 
 
-_DECISION = f"""(SELECT page_id, CASE WHEN n IS NULL THEN 'unknown' WHEN b THEN 'blocked' WHEN a THEN 'anonymise' ELSE 'pass' END AS decision FROM {_URLS} LEFT JOIN
-(SELECT page_id, count(*) AS n, bool_or(kind = 'blocked') AS b, bool_or(kind = 'anonymise_request') AS a FROM {_URLS} JOIN {RULES_SQL} ON {_HIT} GROUP BY page_id) USING (page_id))"""
+#: Requests to a tool and such with values that do not go, besides those of the pages.
+_MORE = """(SELECT * FROM (VALUES (-1, 'https://api.test/en/25?x=1', 'call +1 643 555 2043 not x+1 643 555 2043'), (-2, 'https://api.test/en/25', CAST(NULL AS VARCHAR(9))), (-3, 'ftp://nowhere', 'ann@example.org'),
+ (-4, 'https://api.test/en/25', 'mail ann@example.org {{ann@example.org}}'), (-5, 'https://tools.example/call', 'ann@example.org'), (-6, 'https://api.test/en/1', 'to ann@example.org'), (-7, 'https://api.test/en/1', 'to nobody')) AS r(page_id, url, body))"""
+_SENT = f"(SELECT CAST(page_id AS BIGINT) AS page_id, url, html AS body FROM pages UNION ALL SELECT CAST(page_id AS BIGINT), url, body FROM {_MORE})"
+_DECISION = f"""(SELECT page_id, url, body, CASE WHEN n IS NULL THEN 'unknown' WHEN b THEN 'blocked' WHEN t THEN 'deanonymise' WHEN a THEN 'anonymise' ELSE 'pass' END AS decision FROM {_SENT} LEFT JOIN
+(SELECT page_id, count(*) AS n, bool_or(kind = 'blocked') AS b, bool_or(kind = 'anonymise_response') AS t, bool_or(kind = 'anonymise_request') AS a FROM {_SENT} JOIN {RULES_SQL} ON {_HIT} GROUP BY page_id) USING (page_id))"""
+#: The queries over texts, over the requests' bodies.
+_OF_BODIES = lambda sql: sql.replace(D.TEXTS, f"SELECT page_id AS doc_id, body AS text FROM {_SENT}")
+_BARE_UP = "upper(regexp_replace(coalesce({}, ''), '(?s)\\{{\\{{.*?\\}}\\}}', '', 'g'))"
 
 
-@query(f"SELECT * FROM {_DECISION}")
+def sent(spark, sf_dir):
+    """The pages' URLs and markup as requests, and the fixture: page_id, url, body."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("page_id"), "url", F.col("html").alias("body"))
+    return pages.unionByName(spark.sql(f"SELECT CAST(page_id AS BIGINT) AS page_id, url, body FROM {_MORE}"))
+
+
+@query(
+    f"""WITH d AS MATERIALIZED (SELECT * FROM {_DECISION}), v AS MATERIALIZED (SELECT key FROM {_OF_BODIES(D.ASSIGNED)}), red AS MATERIALIZED (SELECT doc_id AS page_id, redacted FROM {_OF_BODIES(D.REDACTED)}),
+out AS (SELECT page_id, decision, CASE decision WHEN 'anonymise' THEN redacted ELSE body END AS body FROM d LEFT JOIN red USING (page_id)),
+leaking AS (SELECT DISTINCT page_id FROM out JOIN v ON contains({_BARE_UP.format('body')}, v.key) WHERE decision IN ('anonymise', 'pass'))
+SELECT page_id, CASE WHEN l.page_id IS NOT NULL OR (decision = 'anonymise' AND body IS NULL) THEN 'refused' ELSE decision END AS decision FROM out LEFT JOIN leaking l USING (page_id)"""
+)
 def prj_route_decision(spark, sf_dir):
-    return R.decide(urls(spark, sf_dir), rules(spark), "page_id")
+    """Every branch, to the last: what still holds a known value after anonymisation is refused."""
+    requests = sent(spark, sf_dir)
+    found = S.find(requests.select("page_id", F.col("body").alias("text"))).withColumn("spans", S.resolve(F.col("spans")))
+    known = M.assign(S.entities(found, "page_id"), order=["page_id", "start"])
+    redacted = M.redact(found, known, "page_id").select("page_id", "redacted")
+    decided = requests.join(R.decide(requests, rules(spark), "page_id"), "page_id").join(redacted, "page_id")
+    bodies_ = decided.withColumn("body", F.when(F.col("decision") == "anonymise", F.col("redacted")).otherwise(F.col("body")))
+    return R.outcome(bodies_, rules(spark), known, "page_id")
 
 
 _FIRST = f"SELECT page_id, min(ord) AS ord, arg_min(url_pattern, ord) AS url_pattern FROM {_URLS} JOIN {RULES_SQL} ON {_HIT} WHERE kind = 'anonymise_request' GROUP BY page_id"
@@ -95,9 +123,9 @@ def flt_host_allowlist(spark, sf_dir):
     return R.allowed_hosts(hosts.unionAll(more).distinct(), rules(spark))
 
 
-@query("SELECT 'anonymise_request' AS kind, 2 AS ord, 0 AS shadowed_by WHERE false")
+@query(f"SELECT l.kind, l.ord, e.ord AS shadowed_by FROM {RULES_SQL} l JOIN {RULES_SQL} e ON l.kind = e.kind AND e.ord < l.ord AND regexp_full_match(l.url_pattern, e.url_pattern)")
 def lint_rules(spark, sf_dir):
-    """Rules that a literal reading shows to be shadowed; here none can be read so."""
+    """Rules that a literal reading shows to be shadowed; here the second blocked URL."""
     return R.lint(rules(spark))
 
 
@@ -189,12 +217,13 @@ def flt_signed_block(spark, sf_dir):
     return J.leaves(rows, "id").select("id", "path", J.touches_signed(F.col("steps")).alias("signed"))
 
 
-_SYSTEMS = "SELECT * FROM (VALUES (1, '{\"m\": 1}'), (2, '{\"system\": \"be kind\"}'), (3, '{\"system\": [{\"type\": \"text\", \"text\": \"a\"}]}'), (4, '{\"system\": \"x PROMPT\"}'), (5, '{\"system\": 5}'), (6, 'no json')) AS f(id, body)"
+_SYSTEMS = """SELECT * FROM (VALUES (1, 'https://api.example/messages', '{"m": 1}'), (2, 'https://api.example/messages', '{"system": "be kind"}'), (3, 'https://api.example/messages', '{"system": [{"type": "text", "text": "a"}]}'),
+ (4, 'https://api.example/messages', '{"system": "x PROMPT"}'), (5, 'https://api.example/messages', '{"system": 5}'), (6, 'https://api.example/messages', 'no json'), (7, 'https://api.example/messages/more', '{"system": "as it was"}'), (8, CAST(NULL AS VARCHAR(9)), '{"system": "no url"}')) AS f(id, url, body)"""
 
 
-@query("SELECT * FROM (VALUES (1, 'PROMPT', CAST(NULL AS VARCHAR)), (2, 'be kind' || chr(10) || chr(10) || 'PROMPT', NULL), (3, NULL, 'PROMPT'), (4, 'x PROMPT', NULL), (5, NULL, NULL), (6, NULL, NULL)) f(id, as_text, last_block)")
+@query("SELECT * FROM (VALUES (1, 'PROMPT', CAST(NULL AS VARCHAR)), (2, 'be kind' || chr(10) || chr(10) || 'PROMPT', NULL), (3, NULL, 'PROMPT'), (4, 'x PROMPT', NULL), (5, NULL, NULL), (6, NULL, NULL), (7, 'as it was', NULL), (8, 'no url', NULL)) f(id, as_text, last_block)")
 def prj_inject_prompt(spark, sf_dir):
-    done = spark.sql(_SYSTEMS).select("id", F.try_parse_json(J.inject_prompt(F.col("body"), "PROMPT")).alias("v"))
+    done = spark.sql(_SYSTEMS).select("id", F.try_parse_json(J.inject_prompt(F.col("body"), "PROMPT", F.col("url"), r"https://api\.example/messages")).alias("v"))
     return done.select("id", F.expr("CASE WHEN schema_of_variant(variant_get(v, '$.system', 'variant')) = 'STRING' THEN try_variant_get(v, '$.system', 'string') END").alias("as_text"), F.expr("try_variant_get(v, '$.system[1].text', 'string')").alias("last_block"))
 
 
@@ -231,19 +260,22 @@ def snk_request_log(spark, sf_dir):
     return _shown(J.leaves(back, "conv_id"))
 
 
-@query(f"SELECT conv_id, 'application/json' AS content_type, true AS has_body FROM {_CONV}")
+@query(f"SELECT conv_id, 'application/json' AS content_type, 7 AS max_tokens, 'second ' || conv_id AS system FROM {_CONV}")
 def src_request_parts(spark, sf_dir):
     requests = bodies(spark, sf_dir).select("conv_id", "url", F.create_map(F.lit("x-id"), F.col("conv_id").cast("string")).alias("headers"), "body")
     parts = records.request_parts(requests)
-    return parts.select(F.col("headers")["x-id"].cast("long").alias("conv_id"), F.col("headers")["content-type"].alias("content_type"), (F.length("body") > 2).alias("has_body"))
+    body = F.try_parse_json(F.decode("body", "UTF-8"))
+    return parts.select(F.col("headers")["x-id"].cast("long").alias("conv_id"), F.col("headers")["content-type"].alias("content_type"), F.try_variant_get(body, "$.max_tokens", "int").alias("max_tokens"), F.try_variant_get(body, "$.system[1].text", "string").alias("system"))
 
 
-@query(f"SELECT decision AS status, count(*) AS n FROM (SELECT CASE WHEN decision = 'unknown' THEN 'no_match' WHEN decision = 'anonymise' AND page_id % 5 = 0 THEN 'anxious' ELSE 'ok' END AS decision FROM {_DECISION}) GROUP BY 1")
+@query(
+    f"""WITH hit AS (SELECT DISTINCT page_id FROM {_SENT} JOIN {RULES_SQL} ON {_HIT} WHERE kind = 'anonymise_request'), spans AS MATERIALIZED (SELECT doc_id, entity FROM {_OF_BODIES(D.RESOLVED)}),
+leaking AS (SELECT DISTINCT r.doc_id AS page_id FROM {_OF_BODIES(D.TYPED)} r JOIN spans s ON s.doc_id = r.doc_id AND contains({_BARE_UP.format('redacted')}, upper(entity)))
+SELECT CASE WHEN h.page_id IS NULL THEN 'no_match' WHEN body IS NULL THEN 'error' WHEN l.page_id IS NOT NULL THEN 'anxious' ELSE 'ok' END AS status, count(*) AS n FROM {_SENT} s LEFT JOIN hit h USING (page_id) LEFT JOIN leaking l USING (page_id) GROUP BY 1"""
+)
 def replay_status(spark, sf_dir):
-    """Status of replayed requests; every fifth anonymised one is taken to leak."""
-    decided = R.decide(urls(spark, sf_dir), rules(spark), "page_id")
-    status = F.when(F.col("decision") == "unknown", "no_match").when((F.col("decision") == "anonymise") & (F.col("page_id") % 5 == 0), "anxious").otherwise("ok")
-    return decided.select(status.alias("status")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    """Requests sent through anew, each with an empty mapping; all domains are watched."""
+    return R.replayed(sent(spark, sf_dir), rules(spark), "page_id").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT event_type AS status, count(*) AS n, round(sum(value), 6) AS total, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most FROM events GROUP BY 1")
