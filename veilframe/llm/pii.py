@@ -3,9 +3,9 @@
 Generators of high recall propose spans that may overlap: four base kinds (e-mail, IP, card, phone), whose matches stay when
 they pass their own test, and loose ones (numbers with any single separators, written-out e-mail addresses). A run of digit groups is offered as every window
 of whole groups that has 7 to 19 digits, so lists and tables of numbers are taken apart. Boosted trees over format and context
-features score the loose candidates; of those at or above a calibrated threshold that no base span overlaps, the one of the
-highest margin, then the longest, then the first, is added, and those that overlap it go. The trees are grown by the driver on a bounded, seeded set of labelled examples made from public number formats
-(``examples``), the threshold on a held-out half of it; they run on the executors as SQL CASE expressions.
+features score the loose candidates; of those at or above their kind's calibrated threshold that no base span overlaps, the one of the
+highest margin over it, then the longest, then the first, is added, and those that overlap it go. The trees are grown by the driver on a bounded, seeded set of labelled examples made from public number formats
+(``examples``), the thresholds on a held-out half of it; they run on the executors as SQL CASE expressions.
 
 There is no shuffle and no Python on the executors. Spans are found once per text: an ``inline`` generator keeps the optimiser
 from copying the expressions. Patterns use possessive groups, so that no text, however long, makes Java's matcher recurse.
@@ -136,11 +136,12 @@ FEATURES = {
 
 @dataclass(frozen=True)
 class Trees:
-    """Boosted trees as (feature, cut, below, above) tuples with numbers as leaves; ``threshold`` is of the summed margin."""
+    """Boosted trees as (feature, cut, below, above) tuples with numbers as leaves; ``thresholds`` of the summed margin, by the kinds
+    of MORE."""
 
     base: float
     trees: tuple
-    threshold: float
+    thresholds: tuple[float, ...]
 
     def sql(self, names: list[str]) -> str:
         def node(t) -> str:
@@ -252,18 +253,25 @@ def _grown(rows: tuple, labels: tuple, precision: float) -> Trees:
     x, y = np.array(rows, dtype=float), np.array(labels, dtype=float)
     half = len(y) // 2
     base, trees = boost(x[:half], y[:half])
-    model = Trees(base, trees, np.inf)
-    margin, truth = model.margins(x[half:]), y[half:]
-    order = np.argsort(-margin, kind="stable")
-    right = np.cumsum(truth[order]) / np.arange(1, len(order) + 1)
-    enough = np.flatnonzero(right >= precision)
-    threshold = float(margin[order][enough[-1]]) if len(enough) else np.inf
-    return Trees(base, trees, max(threshold, 0.0))
+    written = x[half:, list(FEATURES).index("written_at")] > 0
+    margins, truths = Trees(base, trees, ()).margins(x[half:]), y[half:]
+
+    def threshold(own: np.ndarray) -> float:
+        margin, truth = margins[own], truths[own]
+        order = np.argsort(-margin, kind="stable")
+        right = np.cumsum(truth[order]) / np.arange(1, len(order) + 1)
+        enough = np.flatnonzero(right >= precision)
+        if not len(enough):
+            return np.inf
+        last, rest = margin[order][enough[-1]], margin[order][enough[-1] + 1 :]
+        return max(float(last + rest[0]) / 2, 0.0) if len(rest) else 0.0  # between the last one and the next, or that of even odds
+
+    return Trees(base, trees, (threshold(~written), threshold(written)))
 
 
 def train(spark: SparkSession, precision: float = 0.999, n: int = 3000) -> Trees:
-    """Grows the trees by half of the examples and calibrates the threshold by the other half: the lowest margin above which
-    the share of right ones is at least ``precision``. The features are those of the SQL expressions themselves."""
+    """Grows the trees by half of the examples and calibrates each kind's threshold by the other half: the lowest margin above
+    which the share of right ones is at least ``precision``. The features are those of the SQL expressions themselves."""
     made = examples(n)
     found = spark.createDataFrame(made, "m string, b string, a string, label int").selectExpr("label", *(f"double({e}) AS {f}" for f, e in FEATURES.items())).collect()
     return _grown(tuple(tuple(r)[1:] for r in found), tuple(r[0] for r in found), precision)
@@ -280,11 +288,12 @@ def detect(rows: DataFrame, model: Trees) -> DataFrame:
     base = "concat(" + ", ".join(f"transform(c_{k}, s -> {light.format(rank=kinds.index(k))})" for k in BASE) + ")"
     first = candidates(rows).selectExpr(*kept, *(f"c_{k}" for k in MORE), f"inline(array(named_struct('base', array_sort({base}))))")
     scored = []
-    for k in MORE:
+    for k, threshold in zip(MORE, model.thresholds):
+        least = min(threshold, 1e9)
         named = ", ".join(f"'{f}', double({_of_candidate(e)})" for f, e in FEATURES.items())
         margin = model.sql([f"z.{f}" for f in FEATURES])
         margins = f"transform(c_{k}, s -> named_struct('margin', transform(array(named_struct({named})), z -> {margin})[0], 's', named_struct('start', s.start, 'stop', s.stop, 'kind', s.kind)))"
-        chosen = f"transform(filter({margins}, y -> y.margin >= {min(model.threshold, 1e9)!r}D AND NOT exists(base, o -> o.start < y.s.stop AND y.s.start < o.stop)), y -> named_struct('order', -y.margin, 'size', y.s.start - y.s.stop, 'start', y.s.start, 'rank', {kinds.index(k)}, 'stop', y.s.stop, 'kind', y.s.kind))"
+        chosen = f"transform(filter({margins}, y -> y.margin >= {least!r}D AND NOT exists(base, o -> o.start < y.s.stop AND y.s.start < o.stop)), y -> named_struct('order', {least!r}D - y.margin, 'size', y.s.start - y.s.stop, 'start', y.s.start, 'rank', {kinds.index(k)}, 'stop', y.s.stop, 'kind', y.s.kind))"
         scored.append(chosen)
     # of overlapping candidates the one of the highest margin
     resolved = "aggregate(array_sort(scored), CAST(array() AS ARRAY<STRUCT<start: INT, rank: INT, stop: INT, kind: STRING>>), (p, s) -> if(exists(p, o -> o.start < s.stop AND s.start < o.stop), p, concat(p, array(" + light.format(rank="s.rank") + "))))"
@@ -305,7 +314,7 @@ def report(docs: DataFrame, model: Trees) -> DataFrame:
     """The contract's columns, derived from the spans."""
     rows = ids_and_texts(docs).selectExpr("doc_id", "coalesce(text, '') AS text")
     counts = [f"CAST(size(filter(base, s -> s.kind = '{k}')) AS BIGINT) AS n_{k}" for k in BASE]
-    return detect(rows, model).selectExpr("doc_id", *counts, f"sha2({_joined('base')}, 256) AS base_sha256", f"{_joined('array_sort(concat(base, more))')} AS spans", "CAST(size(more) AS BIGINT) AS n_more")
+    return detect(rows, model).selectExpr("doc_id", *counts, f"sha2({_joined('base')}, 256) AS base_sha256", f"{_joined('array_sort(concat(base, more))')} AS spans", "CAST(size(more) AS BIGINT) AS n_more", "CAST(size(base) + size(more) AS BIGINT) AS n_spans")
 
 
 def redact(docs: DataFrame, model: Trees) -> DataFrame:
