@@ -17,6 +17,7 @@ TEXTS = [
     (8, "api_key = 'abcDEF123456' AKIA" + "Q7" * 9 + " deadbeefdeadbeefdeadbeef mail a@b.org", "en", "c"),
     (9, "é ß 😀 naïve café 日本語 \x0b end", "fr", "c"),
     (None, "no id at all but some words here", "en", None),
+    (10, "ab1" * 40_000, "en", "a"),
     (-5, "negative id \x1f unit separator is no space", "de", "b"),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string"
