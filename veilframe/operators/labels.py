@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions import text as T
 
@@ -18,20 +23,22 @@ def io_to_bio(tags: Column) -> Column:
     return F.slice(made, F.lit(1), F.size(tags))
 
 
-def token_starts(text: Column) -> Column:
-    """Where each whitespace token begins, in code points."""
-    gaps, words = F.split(text, T.TOKEN, -1), T.tokens(text)
-    lengths = F.zip_with(gaps, words, lambda g, w: F.struct(F.length(g).alias("g"), F.coalesce(F.length(w), F.lit(0)).alias("w")))
-    return F.transform(words, lambda w, i: F.aggregate(F.slice(lengths, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x["g"] + x["w"]) - F.get(lengths, i)["w"])
+_TOKEN = re.compile("[^ \t\n\r\f]+")
+
+
+@pandas_udf(ArrayType(IntegerType()))
+def token_starts(texts: pd.Series) -> pd.Series:
+    """Where each whitespace token begins, in code points. An Arrow pass: built-in functions would add up all earlier tokens for
+    each one."""
+    return texts.map(lambda t: None if t is None else [m.start() for m in _TOKEN.finditer(t)])
 
 
 def bio_encode(text: Column, entities: Column) -> Column:
     """Labels of whitespace tokens. Each of ``entities`` (text, type) marks its first occurrence, later ones over earlier ones;
-    a token has the type of its first character, inside when the label before it is of that type."""
+    a token has the type of its first character, inside when the token before it is of that type."""
     marked = F.transform(entities, lambda e: F.struct((F.call_function("locate", e["text"], text) - 1).alias("at"), F.length(e["text"]).alias("n"), e["type"].alias("type")))
     kinds = F.transform(token_starts(text), lambda s: F.coalesce(F.try_element_at(F.filter(marked, lambda m: (m["at"] >= 0) & (m["at"] <= s) & (s < m["at"] + m["n"])), F.lit(-1))["type"], F.lit("O")))
-    step = lambda done, k: F.concat(done, F.array(F.when(k == "O", k).when(F.endswith(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit("O")), k), F.concat(F.lit("I-"), k)).otherwise(F.concat(F.lit("B-"), k))))
-    return F.aggregate(kinds, F.expr("CAST(array() AS ARRAY<STRING>)"), step)
+    return io_to_bio(kinds)
 
 
 def bio_eval(words: Column, entities: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spans as S
 from ..operators import mappings as M
+from ..sources.records import scratch_path
 from .registry import query, table
 
 #: Texts with values that the tables lack; read by both engines.
@@ -98,6 +99,13 @@ def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.find(texts(spark, sf_dir)).withColumn("spans", S.resolve(F.col("spans")))
 
 
+def resolved_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a written table, for queries that need the spans more than once: patterns run once over the texts."""
+    rows, path = resolved(spark, sf_dir), scratch_path(spark, "spans")
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 @query(f"SELECT doc_id, start, stop, type, entity FROM {RESOLVED}")
 def span_resolve(spark, sf_dir):
     return S.entities(resolved(spark, sf_dir), "doc_id")
@@ -108,8 +116,8 @@ ASSIGNED = f"""(SELECT key, entity AS sensitive, type, CAST(row_number() OVER (O
  SELECT upper(entity) AS key, entity, type, doc_id, start, row_number() OVER (PARTITION BY upper(entity) ORDER BY doc_id, start) AS r FROM {RESOLVED} WHERE NOT regexp_matches(entity, '\\[[A-Z_]+_[0-9]+\\]')) WHERE r = 1)"""
 
 
-def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.assign(S.entities(resolved(spark, sf_dir), "doc_id"), order=["doc_id", "start"])
+def assigned(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    return M.assign(S.entities(resolved(spark, sf_dir) if rows is None else rows, "doc_id"), order=["doc_id", "start"])
 
 
 @query(f"SELECT key, sensitive, type, id, '[' || type || '_' || id || ']' AS placeholder FROM {ASSIGNED}")
@@ -124,8 +132,9 @@ def snk_mapping_dump(spark, sf_dir):
 
 @query(f"SELECT doc_id, start, upper(entity) AS key, regexp_extract('[' || a.type || '_' || id || ']', '^\\[([A-Z_]+)_[0-9]+\\]$', 1) AS known_type FROM {RESOLVED} r JOIN {ASSIGNED} a ON a.key = upper(r.entity)")
 def map_type_of(spark, sf_dir):
-    found = S.entities(resolved(spark, sf_dir), "doc_id").withColumn("key", F.upper("entity"))
-    return M.with_type(found, assigned(spark, sf_dir)).select("doc_id", "start", "key", "known_type")
+    rows = resolved_once(spark, sf_dir)
+    found = S.entities(rows, "doc_id").withColumn("key", F.upper("entity"))
+    return M.with_type(found, assigned(spark, sf_dir, rows)).select("doc_id", "start", "key", "known_type")
 
 
 #: Pieces between the spans, with each span replaced.
@@ -141,7 +150,8 @@ REDACTED = _redacted_sql("'[' || a.type || '_' || a.id || ']'", f"JOIN {ASSIGNED
 
 @query(f"SELECT doc_id, md5(redacted) AS redacted_md5 FROM {REDACTED}")
 def redact(spark, sf_dir):
-    done = M.redact(resolved(spark, sf_dir), assigned(spark, sf_dir), "doc_id")
+    rows = resolved_once(spark, sf_dir)
+    done = M.redact(rows, assigned(spark, sf_dir, rows), "doc_id")
     return done.select("doc_id", F.md5("redacted").alias("redacted_md5"))
 
 
@@ -160,8 +170,9 @@ put AS (SELECT k, string_agg(gap || coalesce(sensitive, '<SECRET_NOT_FOUND-' ||
 SELECT doc_id, md5(coalesce(head, '') || string_split_regex(redacted, '\\[[A-Z_]+_[0-9]+\\]')[-1]) AS restored_md5 FROM red LEFT JOIN put USING (k)"""
 )
 def restore_text(spark, sf_dir):
-    known = assigned(spark, sf_dir)
-    done = M.redact(resolved(spark, sf_dir), known, "doc_id").where("redacted IS NOT NULL")
+    rows = resolved_once(spark, sf_dir)
+    known = assigned(spark, sf_dir, rows)
+    done = M.redact(rows, known, "doc_id").where("redacted IS NOT NULL")
     return M.restore(done.select("doc_id", F.col("redacted").alias("text")), known).select("doc_id", F.md5("restored").alias("restored_md5"))
 
 
@@ -177,8 +188,9 @@ v AS (SELECT key FROM {ASSIGNED} WHERE key NOT IN ('CLAUDE', 'CLAUDE CODE', 'CLA
 SELECT doc_id, count(v.key) AS n_leaks, count(v.key) > 0 AS blocked FROM red LEFT JOIN v ON contains(upper(regexp_replace(redacted, '(?s)\\{{\\{{.*?\\}}\\}}', '', 'g')), v.key) GROUP BY doc_id"""
 )
 def leak_check(spark, sf_dir):
-    known = assigned(spark, sf_dir)
-    done = M.redact(resolved(spark, sf_dir), known, "doc_id").where("redacted IS NOT NULL").select("doc_id", F.col("redacted").alias("text"))
+    rows = resolved_once(spark, sf_dir)
+    known = assigned(spark, sf_dir, rows)
+    done = M.redact(rows, known, "doc_id").where("redacted IS NOT NULL").select("doc_id", F.col("redacted").alias("text"))
     return M.leaks(done, known, "doc_id").select("doc_id", F.size("leaked").cast("long").alias("n_leaks"), (F.size("leaked") > 0).alias("blocked"))
 
 
@@ -227,8 +239,9 @@ def join_asof_mappings(spark, sf_dir):
 @query(f"""WITH tok AS (SELECT doc_id, unnest(regexp_extract_all(redacted, '\\[[A-Z_]+_[0-9]+\\]')) AS token FROM {REDACTED} WHERE redacted IS NOT NULL)
 SELECT doc_id, token, coalesce(sensitive, '<SECRET_NOT_FOUND-' || token || '>') AS value, count(*) AS n FROM tok LEFT JOIN {ASSIGNED} a ON token = '[' || a.type || '_' || a.id || ']' GROUP BY ALL""")
 def join_placeholder(spark, sf_dir):
-    known = assigned(spark, sf_dir)
-    done = M.redact(resolved(spark, sf_dir), known, "doc_id").where("redacted IS NOT NULL")
+    rows = resolved_once(spark, sf_dir)
+    known = assigned(spark, sf_dir, rows)
+    done = M.redact(rows, known, "doc_id").where("redacted IS NOT NULL")
     tokens = done.select("doc_id", F.explode(F.regexp_extract_all("redacted", F.lit(S.TOKEN), F.lit(0))).alias("token"))
     return M.look_up(tokens, known).groupBy("doc_id", "token", "value").agg(F.count(F.lit(1)).alias("n"))
 

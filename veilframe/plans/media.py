@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions import spans as S
 from ..functions import text as T
+from ..operators import generators as G
 from ..operators import mappings as M
 from ..operators import ner as N
 from ..operators import ocr as O
 from ..sources import bodies as B
 from ..sources import records
 from ..streaming import events as E
-from .detection import TESTS, TEXTS, assigned, found_sql, resolved, texts
+from .detection import ASSIGNED, REDACTED, TESTS, TEXTS, assigned, found_sql, resolved, texts
 from .registry import query, table
 
 #: Words of two images with their boxes.
@@ -198,21 +199,27 @@ def fn_token_regex(spark, sf_dir):
     return each.select("doc_id", "token", F.regexp_extract("token", r"\[([A-Z_]+)_[0-9]+\]", 1).alias("type"))
 
 
-@query("SELECT min(id) AS lo, max(id) AS hi, count(*) AS n, count(DISTINCT id % 4) AS kinds FROM range(2000) t(id)")
+def _made_sql(templates, n: int) -> str:
+    parts = ", ".join(f"({t}, {i}, '{kind}', '{text}')" for t, pieces in enumerate(templates) for i, (kind, text) in enumerate(pieces))
+    words = ", ".join(f"('{kind}', {i}, '{w}')" for kind, ws in G.WORDS.items() for i, w in enumerate(ws))
+    sizes = " ".join(f"WHEN '{kind}' THEN {len(ws)}" for kind, ws in G.WORDS.items())
+    return f"""(WITH p AS (SELECT * FROM (VALUES {parts}) p(t, i, kind, piece)), w AS (SELECT * FROM (VALUES {words}) w(kind, k, word)),
+each AS (SELECT id, i, p.kind, CASE p.kind WHEN '' THEN piece ELSE word END AS piece FROM range({n}) r(id) JOIN p ON p.t = id % {len(templates)}
+ LEFT JOIN w ON w.kind = p.kind AND w.k = CAST('0x' || substr(md5(id || '-' || i), 1, 6) AS INT) % CASE p.kind {sizes} END),
+placed AS (SELECT *, CAST(sum(length(piece)) OVER (PARTITION BY id ORDER BY i) AS BIGINT) - length(piece) AS start FROM each)
+SELECT id, string_agg(piece, '' ORDER BY i) AS text, coalesce(string_agg(kind || ':' || start || ':' || piece, '|' ORDER BY i) FILTER (WHERE kind IN ('PERSON', 'ORG', 'LOC')), '') AS entities FROM placed GROUP BY id)"""
+
+
+@query(f"SELECT * FROM {_made_sql(G.NEGATIVE, 2000)}")
 def fn_synth_negative(spark, sf_dir):
-    """Seeded sentences without entities: a template for each id."""
-    templates = F.array(*map(F.lit, ("the {} is open", "run {} again", "see {} below", "no {} found")))
-    made = spark.range(2000).select("id", F.replace(F.element_at(templates, (F.col("id") % 4 + 1).cast("int")), F.lit("{}"), F.concat(F.lit("item"), F.pmod(F.xxhash64("id"), F.lit(97)).cast("string"))).alias("text"))
-    return made.where("text NOT LIKE '%{}%'").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n"), F.countDistinct(F.col("id") % 4).alias("kinds"))
+    """Seeded sentences without entities."""
+    return G.sentences(spark, G.NEGATIVE, 2000)
 
 
-@query("SELECT count(*) AS n, count(*) AS labelled FROM range(2000) t(id)")
+@query(f"SELECT * FROM {_made_sql(G.POSITIVE, 2000)}")
 def fn_synth_positive(spark, sf_dir):
-    """Seeded sentences with one person each, and its span."""
-    first, last = (F.array(*map(F.lit, x)) for x in (("Ann", "Bo", "Cy", "Di"), ("Lee", "Roy", "Fox")))
-    name = F.concat(F.element_at(first, (F.pmod(F.xxhash64("id"), F.lit(4)) + 1).cast("int")), F.lit(" "), F.element_at(last, (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3)) + 1).cast("int")))
-    made = spark.range(2000).select("id", name.alias("name"), F.concat(F.lit("Write to "), name, F.lit(" today")).alias("text"))
-    return made.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.substring("text", 10, F.length("name")) == F.col("name")).alias("labelled"))
+    """Seeded sentences with up to three entities of several types, and their places."""
+    return G.sentences(spark, G.POSITIVE, 2000)
 
 
 # ---- provider tables -----------------------------------------------------------------------------------------------------
@@ -318,22 +325,27 @@ def join_entity_cache(spark, sf_dir):
     return t.select("doc_id", "h").join(found, "h").select("doc_id", F.size("spans").cast("long").alias("n"))
 
 
+def _digest(text: str = "text"):
+    """Texts meet by their sha256, so that no text is shuffled."""
+    return F.unhex(F.sha2(text, 256)).alias("digest")
+
+
 @query("SELECT d.doc_id, min(b.doc_id) AS first_line FROM documents d JOIN documents b ON d.text = b.text AND d.lang = b.lang AND d.source = b.source GROUP BY d.doc_id")
 def join_entity_log(spark, sf_dir):
     """The first log line of equal source, language and text; the three keys stand for url, path and text."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
-    first = d.groupBy("lang", "source", "text").agg(F.min("doc_id").alias("first_line"))
-    return d.join(first, ["lang", "source", "text"]).select("doc_id", "first_line")
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", _digest())
+    first = d.groupBy("lang", "source", "digest").agg(F.min("doc_id").alias("first_line"))
+    return d.join(first, ["lang", "source", "digest"]).select("doc_id", "first_line")
 
 
 @query("SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY text")
 def dst_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")).select("doc_id", "n")
+    return table(spark, sf_dir, "documents").groupBy(_digest()).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")).select("doc_id", "n")
 
 
 @query("SELECT count(DISTINCT text) AS n FROM documents WHERE length(text) >= 10")
 def dedupe_seen(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where(F.length("text") >= 10).select("text").dropDuplicates().agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, sf_dir, "documents").where(F.length("text") >= 10).select(_digest()).distinct().agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT count(*) AS processed, count(*) FILTER (WHERE length(text) < 10 OR r > 1) AS skipped, count(*) FILTER (WHERE length(text) >= 10 AND r = 1) AS evaluated FROM (SELECT text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents)")
@@ -470,17 +482,17 @@ def _pseudonymised(spark, sf_dir):
     return sink, path
 
 
-@query(f"SELECT count(*) AS n, count(*) FILTER (WHERE n_ph > 0) AS changed FROM (SELECT t.doc_id, (SELECT count(*) FROM {RESOLVED} r WHERE r.doc_id = t.doc_id AND NOT regexp_matches(r.entity, '\\[[A-Z_]+_[0-9]+\\]')) AS n_ph FROM ({TEXTS}) t WHERE text IS NOT NULL)")
+@query(f"SELECT doc_id, md5(redacted) AS redacted_md5 FROM {REDACTED} WHERE redacted IS NOT NULL")
 def stream_anonymize(spark, sf_dir):
+    """One run over what is there: ids by request and place, as without a stream."""
     _, path = _pseudonymised(spark, sf_dir)
-    out = spark.read.parquet(f"{path}/out")
-    return out.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("text") != F.col("redacted")).alias("changed"))
+    return spark.read.parquet(f"{path}/out").select(F.col("request_id").alias("doc_id"), F.md5("redacted").alias("redacted_md5"))
 
 
-@query(f"SELECT count(DISTINCT upper(entity)) AS n, count(DISTINCT upper(entity)) - 1 AS last_id FROM {RESOLVED}")
+@query(f"SELECT key, sensitive, type, id, '[' || type || '_' || id || ']' AS placeholder FROM {ASSIGNED}")
 def state_mappings(spark, sf_dir):
     sink, _ = _pseudonymised(spark, sf_dir)
-    return sink.mapping(spark).agg(F.countDistinct("key").alias("n"), F.max("id").alias("last_id"))
+    return sink.mapping(spark).select("key", "sensitive", "type", "id", "placeholder")
 
 
 @query("SELECT epoch(time_bucket(INTERVAL '12 hours', ts, TIMESTAMP '2000-01-01'))::BIGINT AS since, user_id, count(*) AS hits, count(*) >= 3 AS kept FROM events GROUP BY 1, 2")
