@@ -1,5 +1,6 @@
 """Spans, placeholders and leaks against plain Python."""
 
+import json
 import re
 
 from hypothesis import HealthCheck, given, settings
@@ -121,3 +122,29 @@ def test_gazetteer_finds_every_whole_word(spark):
     groups = Gazetteer(names).spans(texts)
     assert sorted((r.start, r.end, r.entity_group) for r in groups.collect()) == [(7, 10, "PER"), (11, 14, "PER"), (22, 25, "PER"), (27, 30, "ORG")]
     assert post_filter(groups).count() == 4
+
+
+def test_streams_are_restored_by_a_mapping_of_any_size(spark, monkeypatch):
+    from veilframe.operators import mappings as M
+    from veilframe.streaming import events as E
+
+    known = spark.createDataFrame([("ANN", "Ann", "PERSON", 1, 0, "[PERSON_0]"), ("A@B.C", "a@b.c", "EMAIL", 1, 1, "[EMAIL_1]")], "key string, sensitive string, type string, first_seen long, id long, placeholder string")
+    data = ['data: {"t": "hi [PERSON_0] [person_0]"}', "data: broken [EMAIL_1] [ORG_9]", "data: [DONE]", ": [EMAIL_1]", None]
+    chunks = spark.createDataFrame([("s", i, d) for i, d in enumerate(data)], "stream_id string, seq int, data string")
+    both = []
+    for most in (50_000, 0):
+        monkeypatch.setattr(M, "BROADCAST_VALUES", most)
+        both.append({r.seq: r.restored for r in E.restore_stream(chunks, known).collect()})
+    assert both[0] == both[1] and both[0][1] == "data: broken a@b.c <SECRET_NOT_FOUND-[ORG_9]>" and both[0][0].startswith('data: {"t": "hi Ann')
+
+
+def test_cut_placeholders_are_put_together(spark):
+    from veilframe.streaming import events as E
+
+    texts = ["hi [PER", "SON", "_0] and [", "EMAIL_1", "] then [x", " end ["]
+    rows = [(s, i, f'data: {{"d": {{"t": "{t}"}}}}') for s in ("a", "b") for i, t in enumerate(texts)] + [("a", 9, "data: [DONE]")]
+    known = spark.createDataFrame([("ANN", "Ann", "PERSON", 1, 0, "[PERSON_0]"), ("A@B.C", "a@b.c", "EMAIL", 1, 1, "[EMAIL_1]")], "key string, sensitive string, type string, first_seen long, id long, placeholder string")
+    joined = E.rejoin(spark.createDataFrame(rows, "stream_id string, seq int, data string"), ".d.t")
+    got = E.restore_stream(joined, known, (".d.t",)).orderBy("stream_id", "seq").collect()
+    text = {s: "".join(json.loads(r.restored[6:])["d"]["t"] for r in got if r.stream_id == s and r.seq < 9) for s in "ab"}
+    assert text == {s: "hi Ann and a@b.c then [x end [" for s in "ab"}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -18,8 +19,6 @@ LINE = "data: "
 
 
 def _restore_lines(chunk: str, values: dict[str, str], fields: list[list]) -> str:
-    import re
-
     token = re.compile(S.TOKEN)
     back = lambda t: token.sub(lambda m: values.get(m[0].upper(), f"<SECRET_NOT_FOUND-{m[0]}>"), t)
     out = []
@@ -57,14 +56,67 @@ def restore_chunk(data: Column, values: Column, fields: tuple[str, ...] = ()) ->
 
 
 def restore_stream(chunks: DataFrame, known: DataFrame, fields: tuple[str, ...] = ()) -> DataFrame:
-    """``chunks`` (a stream or a table with data): adds restored. The mapping snapshot is one row, a map; its size is checked."""
-    n = known.count()
-    if n > M.BROADCAST_VALUES:
-        raise ValueError("restore_stream holds the whole mapping in each task; restore larger ones with mappings.restore")
+    """``chunks`` (a stream or a table with data): adds restored. A mapping snapshot of checked size is one row, a map; against a
+    larger one each chunk of a table looks up its own placeholders by a join. A stream of chunks needs foreachBatch for that."""
+    if known.count() > M.BROADCAST_VALUES:
+        if chunks.isStreaming:
+            raise ValueError("take the stream by foreachBatch: batches are tables, which can be joined to a mapping of any size")
+        held = chunks.withColumn("__row", F.xxhash64("data"))
+        tokens = held.select("__row", F.explode(F.array_distinct(F.regexp_extract_all("data", F.lit(S.TOKEN), F.lit(0)))).alias("token")).distinct()
+        maps = M.look_up(tokens, known).where("value <> concat('<SECRET_NOT_FOUND-', token, '>')").groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct(F.upper("token"), "value"))).alias("__m"))
+        return held.join(maps, "__row", "left").withColumn("restored", restore_chunk(F.col("data"), F.col("__m"), fields)).drop("__row", "__m")
     snapshot = known.agg(F.coalesce(F.map_from_entries(F.collect_list(F.struct("placeholder", "sensitive"))), F.expr("CAST(map() AS MAP<STRING, STRING>)")).alias("__m"))
     return chunks.crossJoin(F.broadcast(snapshot)).withColumn("restored", restore_chunk(F.col("data"), F.col("__m"), fields)).drop("__m")  # one row on that side
 
 
+#: The end of a text that may be the beginning of a placeholder.
+OPEN = re.compile(r"\[(?:[A-Z_]+(?:[0-9]+)?)?$")
+
+
+def _rejoined(chunks: list[str], path: list[str]) -> list[str]:
+    """The chunks of one stream, in order, with beginnings of placeholders moved on to where they end: in the field at ``path`` of
+    each ``data: `` line; what is open at the end stays in the last line that has the field."""
+    out, carry, last = [], "", None
+    for chunk in chunks:
+        lines = chunk.split("\n")
+        for i, line in enumerate(lines):
+            try:
+                tree = json.loads(line[len(LINE) :]) if line.startswith(LINE) else None
+            except ValueError:
+                tree = None
+            node = tree
+            for k in path[:-1]:
+                node = node.get(k) if isinstance(node, dict) else None
+            if isinstance(node, dict) and isinstance(node.get(path[-1]), str):
+                text = carry + node[path[-1]]
+                cut = OPEN.search(text)
+                carry = cut[0] if cut else ""
+                node[path[-1]] = text[: len(text) - len(carry)]
+                lines[i] = LINE + json.dumps(tree, ensure_ascii=False)
+                last = (len(out), i, tree, node)
+        out.append("\n".join(lines))
+    if carry and last is not None:
+        at, i, tree, node = last
+        node[path[-1]] += carry
+        lines = out[at].split("\n")
+        lines[i] = LINE + json.dumps(tree, ensure_ascii=False)
+        out[at] = "\n".join(lines)
+    return out
+
+
+def rejoin(chunks: DataFrame, field: str, stream: str = "stream_id", seq: str = "seq") -> DataFrame:
+    """``chunks`` (stream, seq, data) with placeholders that two or more chunks of a stream cut put together in the chunk where
+    they end, for ``restore_stream``. A stream is one reply, so its chunks fit a task; streams are dealt to tasks by id."""
+    path = field.strip(".").split(".")
+    columns = chunks.columns
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(seq, kind="stable")
+        return pdf.assign(data=_rejoined([x if isinstance(x, str) else "" for x in pdf["data"]], path))[columns]
+
+    return chunks.groupBy(stream).applyInPandas(run, chunks.schema)
+
+
 class Pseudonymiser:
     """Takes requests batch by batch (``stream.writeStream.foreachBatch(p)``): new values get the next ids, in order of request
     and place, and none is ever given anew. A batch that is repeated after a failure finds its own output and is skipped.
