@@ -2,7 +2,8 @@
 
 The forest is grown on labelled rows of good quality, at most ``max_labelled`` of them (a documented bound: those with the
 lowest hash of the id). Each tree takes a subsample and splits its node's box at uniformly random places; the root's box spans
-all labelled rows, so that a place where only bad rows lie is cut off after few splits. The mean path length gives the usual
+all labelled rows, so that a place where only bad rows lie is cut off after few splits; the subsample is large enough to hold the
+rarer kinds of good rows, such as those with repeated lines. The mean path length gives the usual
 anomaly score 2^(-E[h] / c). The threshold is calibrated on labelled rows that the trees have not seen, good and bad: of the
 scores that reject at most ``max_good_rejected`` of the good rows, the one of best balanced accuracy.
 
@@ -154,7 +155,7 @@ def calibrate(forest: Forest, good: np.ndarray, bad: np.ndarray, max_good_reject
     return float(at[np.argmax(np.where(rejected[::-1] <= max_good_rejected * len(good), gain, -np.inf))])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, trees: int = 100, subsample: int = 256, max_good_rejected: float = 0.02, seed: int = 11) -> Forest | None:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, trees: int = 100, subsample: int = 2_048, max_good_rejected: float = 0.02, seed: int = 11) -> Forest | None:
     """A forest from labelled rows (``labels``: doc_id, quality), at most ``max_labelled`` of them; None without good rows."""
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
