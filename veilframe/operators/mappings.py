@@ -23,7 +23,6 @@ def assign(found: DataFrame, order: list[str], scope: list[str] | None = None, a
 
     Ids are global, or dense within each ``scope`` (its columns are kept). Values are first reduced to one row each, map-side;
     only these rows, not their occurrences, are numbered, in a written table (see ranks.numbered).
-    The first column of ``order`` must be a number, or text that reads as none, which comes first and is ordered as text.
     """
     scope = scope or []
     rows = found if allow_tokens else found.where(~F.col("entity").rlike(S.TOKEN))
@@ -33,9 +32,8 @@ def assign(found: DataFrame, order: list[str], scope: list[str] | None = None, a
         ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy(*scope).orderBy("f.place")))
     else:
         path = scratch_path(found.sparkSession, "values")
-        flat = first.withColumn("lead", F.col("f.place")[order[0]].try_cast("double"))
-        flat.write.parquet(path)
-        ranked = numbered(found.sparkSession.read.schema(flat.schema).parquet(path), "lead", ["lead", "f.place"], "rank")
+        first.write.parquet(path)
+        ranked = numbered(found.sparkSession.read.schema(first.schema).parquet(path), ["f.place"], "rank")
     return ranked.withColumn("id", (F.col("rank") - 1).cast("long")).select(
         *scope, "key", F.col("f.entity").alias("sensitive"), F.col("f.type").alias("type"), F.col("f.place")[order[0]].alias("first_seen"), "id",
         F.concat(F.lit("["), F.col("f.type"), F.lit("_"), F.col("id").cast("string"), F.lit("]")).alias("placeholder"),

@@ -113,5 +113,5 @@ def up_to_limit(rows: DataFrame, order: str, score: str, limit: int, most: int =
 
 def ordered_split(rows: DataFrame, order: str, share: float = 0.8) -> DataFrame:
     """Adds ``part``: train for the first int(n * share) rows by the number ``order``, test for the rest."""
-    ranked = numbered(rows, order, [order], "__rank")
+    ranked = numbered(rows, [order], "__rank")
     return ranked.withColumn("part", F.when(F.col("__rank") <= int(rows.count() * share), "train").otherwise("test")).drop("__rank")

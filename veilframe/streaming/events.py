@@ -14,6 +14,8 @@ from pyspark.sql.pandas.functions import pandas_udf
 
 from ..functions import spans as S
 from ..operators import mappings as M
+from ..operators.ranks import numbered
+from ..sources.records import scratch_path
 
 LINE = "data: "
 
@@ -147,11 +149,12 @@ class Pseudonymiser:
         found = S.find(batch.select(F.col(self.id), "text"), self.finders).withColumn("spans", S.resolve(F.col("spans")))
         new = M.assign(S.entities(found, self.id), order=[self.id, "start"]).join(before.select("key"), "key", "left_anti")
         taken = before.agg(F.coalesce(F.max("id") + 1, F.lit(0))).first()[0]
-        from pyspark.sql import Window
-
-        numbered = new.withColumn("id", F.row_number().over(Window.orderBy("id")) - 1 + F.lit(taken)).withColumn("placeholder", F.concat(F.lit("["), "type", F.lit("_"), F.col("id").cast("string"), F.lit("]")))
+        path = scratch_path(spark, "new-values")
+        new.write.parquet(path)
+        ranked = numbered(spark.read.schema(new.schema).parquet(path), ["id"], "__rank")
+        given = ranked.withColumn("id", F.col("__rank") - 1 + F.lit(taken)).withColumn("placeholder", F.concat(F.lit("["), "type", F.lit("_"), F.col("id").cast("string"), F.lit("]")))
         columns = ["key", "sensitive", "type", F.col("first_seen").cast("long").alias("first_seen"), F.col("id").cast("long").alias("id"), "placeholder"]
-        numbered.select(*columns).write.mode("overwrite").parquet(f"{self.path}/mapping/batch={batch_id}")
+        given.select(*columns).write.mode("overwrite").parquet(f"{self.path}/mapping/batch={batch_id}")
         known = self.mapping(spark).where(F.col("batch") <= batch_id)
         M.redact(found, known, self.id).write.mode("overwrite").parquet(out)
 
