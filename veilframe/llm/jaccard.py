@@ -39,7 +39,7 @@ NUM, DEN = 4, 5
 LEAST_BITS = 1024
 #: Most bits of a bitmap in the nodes of a tree; pairs that leave a tree are compared by their whole bitmaps.
 MOST_BITS = 2048
-BLOCK = 1024
+BLOCK = 512
 LEAF = 8
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
