@@ -175,6 +175,12 @@ def test_components_equal_brute_force(spark, monkeypatch, seed, block):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
 
 
+def test_classes_of_one_name_are_told_apart(spark):
+    rows = near_copies(3)
+    got = jaccard.placed_rows(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "j"), name_bits=3).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
+
+
 def test_blocks_lose_no_pair(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 3)
     rng = random.Random(6)

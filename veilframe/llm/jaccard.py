@@ -14,8 +14,10 @@ Documents are classes of equal shingle sets (5 words, A-Z lower-cased); two clas
    whose sizes allow a link are traversed by different tasks.
 5. Components by alternating large-star and small-star steps over written tables.
 
-Nothing is capped: the tree only drops pairs that cannot link, or whose link changes no component. Equal sets are classes named by
-64-bit hashes of their sets, and shingles are 64-bit hashes of their words; a collision of two among n has odds of n^2 / 2^65.
+Nothing is capped: the tree only drops pairs that cannot link, or whose link changes no component. Equal sets are classes, told apart
+by 128-bit hashes of their sets: a class is named by 64 bits of it, and by others as well where two classes would have one name
+(see ``named_apart``). Shingles are 64-bit hashes of their words; that two of one document, or of a pair compared, fall together
+has odds of their number squared / 2^65.
 Copies of a class are dropped in each block before the shuffle. Results: null, empty and blank texts have no shingle, size 0,
 and link with nothing; fewer than five words make one shingle; rows of equal id are one document's rows and get the component
 of each row's text; null ids count as the largest id.
@@ -78,9 +80,10 @@ class Shingler:
         return np.unique(out)
 
 
-def class_of(shingles: np.ndarray) -> int:
-    """A signed 64-bit name of a set."""
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def class_of(shingles: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """Two signed 64-bit hashes of a set; of the first, only so many bits."""
+    raw = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+    return int.from_bytes(raw[:8], "little", signed=True) >> (64 - bits), int.from_bytes(raw[8:], "little", signed=True)
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
@@ -191,7 +194,7 @@ class SignatureTree:
 
 # ---- classes and prefixes ------------------------------------------------------------------------------------------------
 
-SETS = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("bits", pa.binary()), ("sign", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+SETS = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("cls2", pa.int64()), ("bits", pa.binary()), ("sign", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
 
 def common_shingles(docs: DataFrame, scratch: Scratch, sample_docs: int = 20_000, most: int = 150_000) -> tuple[np.ndarray, np.ndarray]:
@@ -226,9 +229,9 @@ def mark_of(docs: DataFrame) -> Column:
     return F.xxhash64(docs["text"].cast("string")).alias("mark")
 
 
-def shingle_sets(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """A row for each row of ``docs``: doc_id, mark (a hash of its text), n, its class (null without words), and bitmap and prefix where the block meets
-    the class first."""
+def shingle_sets(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], name_bits: int = 64) -> DataFrame:
+    """A row for each row of ``docs``: doc_id, mark (a hash of its text), n, both hashes of its class (null without words), and bitmap
+    and prefix where the block meets the class first."""
 
     known, often = common
 
@@ -236,13 +239,13 @@ def shingle_sets(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> Data
         shingler = only("shingler", Shingler)
         for b in in_slices(batches):
             rows: dict[str, list] = {f: [] for f in SETS.names}
-            met: set[int] = set()
+            met: set[tuple] = set()
             for doc_id, mark, text in zip(b.column("doc_id").to_pylist(), b.column("mark").to_pylist(), b.column("text").to_pylist()):
                 s = shingler(text)
-                cls = class_of(s) if len(s) else None
-                first = cls is not None and cls not in met
+                cls, cls2 = class_of(s, name_bits) if len(s) else (None, None)
+                first = cls is not None and (cls, cls2) not in met
                 if first:
-                    met.add(cls)
+                    met.add((cls, cls2))
                     wide = bitmap(s)
                     prefix = s
                     if len(known):
@@ -252,17 +255,29 @@ def shingle_sets(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> Data
                     prefix = prefix[: prefix_length(len(s))].view(np.int64)
                 else:
                     wide = None
-                for name, value in zip(SETS.names, (doc_id, mark, len(s), cls, wide, signature(wide) if first else None, prefix if first else None)):
+                for name, value in zip(SETS.names, (doc_id, mark, len(s), cls, cls2, wide, signature(wide) if first else None, prefix if first else None)):
                     rows[name].append(value)
             yield batch(SETS, **rows)
 
     return ids_and_texts(docs, mark_of(docs)).mapInArrow(run, spark_schema(SETS))
 
 
+def named_apart(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """``sets`` with one name, cls, for each class: where classes share the first hash, it is both hashes exclusive-or."""
+    hashes = sets.where("cls IS NOT NULL").groupBy("cls").agg(F.min("cls2").alias("lo"), F.max("cls2").alias("hi"))
+    shared = scratch.save(hashes.where("lo < hi").select(F.col("cls").alias("shared")), "shared")
+    n = shared.count()  # among 5 * 10^10 classes, 70 to be expected
+    if not n:
+        return sets.drop("cls2")
+    joined = sets.join(F.broadcast(shared) if n <= 1_000_000 else shared, F.col("cls") == F.col("shared"), "left")
+    name = F.when(F.col("shared").isNull(), F.col("cls")).otherwise(F.col("cls").bitwiseXOR(F.col("cls2")))
+    return joined.withColumn("cls", name).drop("cls2", "shared")
+
+
 PAYLOAD = pa.schema([("cls", pa.int64()), ("shingles", pa.binary())])
 
 
-def payloads(docs: DataFrame, representatives: DataFrame) -> DataFrame:
+def payloads(docs: DataFrame, representatives: DataFrame, name_bits: int = 64) -> DataFrame:
     """The whole sets of classes; ``representatives``: cls, rep (an id whose rows include the class's text)."""
 
     def run(batches):
@@ -271,8 +286,10 @@ def payloads(docs: DataFrame, representatives: DataFrame) -> DataFrame:
             rows = []
             for cls, text in zip(b.column("cls").to_pylist(), b.column("text").to_pylist()):
                 s = shingler(text)
-                if len(s) and class_of(s) == cls:
-                    rows.append((cls, s.tobytes()))
+                if len(s):
+                    one, two = class_of(s, name_bits)
+                    if cls in (one, one ^ two):
+                        rows.append((cls, s.tobytes()))
             yield batch(PAYLOAD, cls=[r[0] for r in rows], shingles=[r[1] for r in rows])
 
     n = representatives.count()
@@ -444,10 +461,10 @@ def join(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return placed_rows(docs, scratch).select("doc_id", "n_shingles", "component_id")
 
 
-def placed_rows(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def placed_rows(docs: DataFrame, scratch: Scratch, name_bits: int = 64) -> DataFrame:
     """A row for each row of ``docs``: doc_id, mark, n_shingles, component_id, and comp, which names the component even where
-    components share ids; null without words."""
-    sets = scratch.save(shingle_sets(docs, common_shingles(docs, scratch)), "sets")
+    components share ids; null without words. ``name_bits``: of the first hash, for tests."""
+    sets = named_apart(scratch.save(shingle_sets(docs, common_shingles(docs, scratch), name_bits), "sets"), scratch)
 
     # entries of prefixes that meet another class
     entries = sets.where("prefix IS NOT NULL").select(F.explode("prefix").alias("key"), "cls")
@@ -471,7 +488,7 @@ def placed_rows(docs: DataFrame, scratch: Scratch) -> DataFrame:
     ranked = live.join(central, "cls").select("key", "cls", F.struct("degree", "cls").alias("r"))
     centre = ranked.groupBy("key").agg(F.max("r").alias("top"))
     stars = ranked.join(centre, "key").where("top.cls <> cls").groupBy("cls").agg(F.max("top").alias("top")).select(F.least("cls", "top.cls").alias("a"), F.greatest("cls", "top.cls").alias("b")).distinct()
-    star_links = verified(scratch.save(plausible(stars, info), "star-pairs"), docs, named, scratch, "stars")
+    star_links = verified(scratch.save(plausible(stars, info), "star-pairs"), docs, named, scratch, "stars", name_bits)
     comp = scratch.save(components(star_links, scratch, "c1"), "comp1")
 
     # signature trees over what is left
@@ -484,7 +501,7 @@ def placed_rows(docs: DataFrame, scratch: Scratch) -> DataFrame:
     grouped = larger.join(info.select("cls", F.col("sign").alias("bits")), "cls").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
     from_trees = scratch.save(tree_pairs(grouped).distinct(), "tree-pairs")
     candidates = scratch.save(plausible(from_leaves.unionAll(from_trees).distinct(), info), "candidates")
-    links = verified(candidates, docs, named, scratch, "links").unionAll(star_links)
+    links = verified(candidates, docs, named, scratch, "links", name_bits).unionAll(star_links)
     comp = scratch.save(components(links, scratch, "c2"), "comp2")
 
     # the smallest id of each component, back to the rows; written, so that joins by a large component or class can be split
@@ -518,10 +535,10 @@ def plausible(pairs: DataFrame, info: DataFrame) -> DataFrame:
     return sized.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, spark_schema(LINKS))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, named: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, named: DataFrame, scratch: Scratch, name: str, name_bits: int = 64) -> DataFrame:
     """Links among ``pairs`` (a written table); only the sets of their classes are made again, from the whole texts."""
     wanted = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select(F.col("b").alias("cls"))).distinct()
-    whole = scratch.save(payloads(docs, scratch.save(named.join(wanted, "cls", "left_semi").select("rep", "cls"), f"{name}-rep")), f"{name}-sets")
+    whole = scratch.save(payloads(docs, scratch.save(named.join(wanted, "cls", "left_semi").select("rep", "cls"), f"{name}-rep"), name_bits), f"{name}-sets")
     links = scratch.save(verify(pairs, whole), name)
     scratch.drop(f"{name}-sets", f"{name}-rep")
     return links
