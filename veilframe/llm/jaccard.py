@@ -5,7 +5,7 @@ Documents are classes of equal shingle sets (5 words, A-Z lower-cased); two clas
 1. Each class has a bitmap over its shingles, wider for larger sets, and a prefix: its n - ceil(0.8 n) + 1 first shingles in one global
    order. Two classes that link share a prefix shingle, whatever the order is. Shingles that are common in a bounded sample of
    documents come last in it, so passages that many documents share seldom make classes meet; the sample decides cost, not results.
-2. Prefix entries are dealt by shingle; those that meet no other class are dropped.
+2. Prefix entries of shingles that only one class has are dropped.
 3. Star round: each class is compared with the most central of the classes that it meets, and links are merged into components.
 4. For each shingle whose classes are not all of one component, a signature tree is built over its classes: nodes hold the OR
    and the AND of their bitmaps, the range of sizes, and the component if it is one. A dual traversal of the tree with itself
@@ -29,7 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, batch, ids_and_texts, in_slices, only, spark_schema
@@ -466,19 +466,17 @@ def placed_rows(docs: DataFrame, scratch: Scratch, name_bits: int = 64) -> DataF
     components share ids; null without words. ``name_bits``: of the first hash, for tests."""
     sets = named_apart(scratch.save(shingle_sets(docs, common_shingles(docs, scratch), name_bits), "sets"), scratch)
 
-    # entries of prefixes that meet another class
+    # entries of prefixes that meet another class. What is known of a shingle is written down before it is joined to its entries:
+    # both sides are plain exchanges then, and Spark can split a shingle that very many classes hold
     entries = sets.where("prefix IS NOT NULL").select(F.explode("prefix").alias("key"), "cls")
-    by_key = Window.partitionBy("key").orderBy("cls")
-    met = entries.withColumn("before", F.lag("cls").over(by_key)).withColumn("after", F.lead("cls").over(by_key))
-    met = met.where("(before IS NULL OR before <> cls) AND (before IS NOT NULL OR after IS NOT NULL)")
-    # a class that meets only its own copies in other blocks goes with the next step
-    live = scratch.save(met.select("key", "cls"), "live0")
+    met = scratch.save(entries.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("key"), "met")
+    entered = scratch.save(entries.join(met, "key", "left_semi").distinct(), "entered")
     sets_only = scratch.save(sets.drop("prefix"), "sets-only")
-    scratch.drop("sets")
+    scratch.drop("sets", "met")
     sets = sets_only
-    many = live.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    live = scratch.save(live.join(many, "key"), "live")
-    scratch.drop("live0")
+    many = scratch.save(entered.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "many")
+    live = scratch.save(entered.join(many, "key"), "live")
+    scratch.drop("entered", "many")
 
     named = sets.where("cls IS NOT NULL").groupBy("cls").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("rep"))
     central = scratch.save(live.groupBy("cls").agg(F.sum("m").alias("degree")), "central")
@@ -486,14 +484,14 @@ def placed_rows(docs: DataFrame, scratch: Scratch, name_bits: int = 64) -> DataF
 
     # star round
     ranked = live.join(central, "cls").select("key", "cls", F.struct("degree", "cls").alias("r"))
-    centre = ranked.groupBy("key").agg(F.max("r").alias("top"))
+    centre = scratch.save(ranked.groupBy("key").agg(F.max("r").alias("top")), "centre")
     stars = ranked.join(centre, "key").where("top.cls <> cls").groupBy("cls").agg(F.max("top").alias("top")).select(F.least("cls", "top.cls").alias("a"), F.greatest("cls", "top.cls").alias("b")).distinct()
     star_links = verified(scratch.save(plausible(stars, info), "star-pairs"), docs, named, scratch, "stars", name_bits)
     comp = scratch.save(components(star_links, scratch, "c1"), "comp1")
 
     # signature trees over what is left
     parted = live.join(comp, "cls", "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
-    mixed = parted.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("key", "m")
+    mixed = scratch.save(parted.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("key", "m"), "mixed")
     members = parted.join(mixed, "key").join(info.select("cls", "n"), "cls")
     leaves = members.where(F.col("m") <= LEAF).select("key", "cls", "comp", "n").repartition("key").sortWithinPartitions("key")
     from_leaves = scratch.save(leaf_pairs(leaves).distinct(), "leaf-pairs")
@@ -508,7 +506,7 @@ def placed_rows(docs: DataFrame, scratch: Scratch, name_bits: int = 64) -> DataF
     classes = scratch.save(named.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "classes")
     smallest = scratch.save(classes.groupBy("comp").agg(F.min("rep").alias("component_id")), "smallest")
     placed = scratch.save(classes.join(smallest, "comp").select(F.col("cls").alias("c"), "comp", "component_id"), "placed")
-    scratch.drop("sampled", "live", "central", "info", "star-pairs", "stars", "leaf-pairs", "tree-pairs", "candidates", "links", "classes", "smallest")
+    scratch.drop("sampled", "live", "centre", "mixed", "central", "info", "star-pairs", "stars", "leaf-pairs", "tree-pairs", "candidates", "links", "classes", "smallest")
     rows = sets.select("doc_id", "mark", F.col("n").alias("n_shingles"), "cls")
     joined = rows.where("cls IS NOT NULL").join(placed, F.col("cls") == F.col("c")).select("doc_id", "mark", "n_shingles", F.nullif("component_id", F.lit(NO_ID)).alias("component_id"), "comp")
     return joined.unionAll(rows.where("cls IS NULL").select("doc_id", "mark", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("comp")))
