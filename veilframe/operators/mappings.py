@@ -179,6 +179,9 @@ def leaks(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
 
 
 def gate(rows: DataFrame, known: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Rows that pass, and rows held back: a row passes only when its own text was judged and holds no known value."""
-    judged = leaks(rows, known, key)
+    """Rows that pass, and rows held back: a row passes only when its own text was judged and holds no known value. The judgement
+    is written down once, so that no row can be on both sides or on none."""
+    judged, path = leaks(rows, known, key), scratch_path(rows.sparkSession, "judged")
+    judged.write.parquet(path)
+    judged = rows.sparkSession.read.schema(judged.schema).parquet(path)
     return judged.where("size(leaked) = 0").drop("leaked"), judged.where("size(leaked) <> 0")
