@@ -172,7 +172,7 @@ def leaks(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
     null text holds nothing.
     """
     own = rows.withColumn("__judged", F.struct(F.col(key), F.xxhash64("text")))
-    bare = own.select("__judged", F.regexp_replace(F.coalesce("text", F.lit("")), r"(?s)\{\{.*?\}\}", "").alias("text")).distinct()
+    bare = own.select("__judged", F.regexp_replace(F.coalesce("text", F.lit("")), r"(?s)\{\{.*?\}\}", "").alias("text"))
     found = known_values(bare, known.where(~F.col("key").isin(*WHITELIST) & ~F.col("key").rlike(f"^{S.TOKEN}$")), "__judged")
     hits = found.groupBy("__judged").agg(F.collect_set("key").alias("leaked"))
     return own.join(hits, "__judged", "left").drop("__judged").withColumn("leaked", F.coalesce("leaked", F.expr("CAST(array() AS ARRAY<STRING>)")))
