@@ -12,6 +12,8 @@ from ..functions.spans import Finder
 
 # Fixed values of the format.
 CACHE_VERSION = 5
+#: Words are of one line when their middles are as near, or they overlap as much, as these say, in pixels or shares of a height.
+NEAR_PIXELS, NEAR_SHARE, OVERLAP_PIXELS, OVERLAP_SHARE = 8, 0.7, 3, 0.4
 #: A word that may end an address: a dot or none, two to six letters, at most one closing mark.
 ADDRESS_END = r"^\.?[a-zA-Z]{2,6}[)>.,;:!?\s]?$"
 #: Marks beside which recognised spaces are dropped; around . and _ only next to word characters.
@@ -43,7 +45,7 @@ def group_lines(regions: DataFrame, id: str) -> DataFrame:
             for k, (top, bottom) in enumerate(extents):
                 height = min(r["bottom"] - r["top"], bottom - top)
                 overlap = min(r["bottom"], bottom) - max(r["top"], top)
-                if abs(r["c"] - (top + bottom) / 2) <= max(8, 0.7 * height) or overlap >= max(3, 0.4 * height):
+                if abs(r["c"] - (top + bottom) / 2) <= max(NEAR_PIXELS, NEAR_SHARE * height) or overlap >= max(OVERLAP_PIXELS, OVERLAP_SHARE * height):
                     lines[k].append(i)
                     extents[k] = (min(top, r["top"]), max(bottom, r["bottom"]))
                     break
