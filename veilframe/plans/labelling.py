@@ -19,7 +19,6 @@ JUDGED = """SELECT * FROM (VALUES
  (6, 'nothing here', '', 'no json at all'),
  (7, 'Odd replies', '', '{"correct": true, "false_positives": 5, "missed_entities": "none", "confidence": 1}'),
  (8, 'Odder', '', '{"correct": 0, "false_positives": [{"text": 3}, null], "missed_entities": [1, {"type": "ORG"}]}')) AS f(id, text, ents, reply)"""
-_PARSED = """[{"correct": false, "false_positives": ["Bob"], "missed_entities": [{"text": "Paris", "type": "PLACE"}], "confidence": "high"}"""
 #: What parsing must give, stated by hand: the oracle cannot match braces.
 VERDICTS = """SELECT * FROM (VALUES
  (1, false, 'Bob', 'Paris:PLACE', 'high'), (2, true, '', 'joe@example.org:EMAIL|Joe Doe:PER', 'medium'), (3, false, '', '', 'low'),

@@ -13,7 +13,7 @@ from ..operators import ocr as O
 from ..sources import bodies as B
 from ..sources import records
 from ..streaming import events as E
-from .detection import ASSIGNED, REDACTED, TESTS, TEXTS, assigned, found_sql, resolved, texts
+from .detection import ASSIGNED, REDACTED, TESTS, TEXTS, found_sql, resolved, texts
 from .registry import query, table
 
 #: Words of two images with their boxes.
