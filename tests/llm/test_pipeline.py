@@ -1,10 +1,24 @@
 """The pipeline stage by stage."""
 
 import corpus_pipeline
-from veilframe.llm import jaccard, mixing
+from veilframe.llm import jaccard, mixing, quality
 from veilframe.llm.common import Scratch
 
-from .test_operators import SF, base_spans, brute_components
+from .test_operators import SF, base_spans, brute_components, brute_repeats
+
+
+def kept_by_walk(forest, text):
+    """The base rules by hand, and the forest tree by tree."""
+    ws = (text or "").encode().split()
+    if len(ws) < 20 or 100 * brute_repeats(ws) > 30 * len(ws):
+        return False
+    x, total = quality.statistics(text)[1], 0.0
+    for feature, cut, length in zip(forest.feature, forest.cut, forest.length):
+        at = 0
+        while feature[at] >= 0:
+            at = 2 * at + 1 + int(x[feature[at]] >= cut[at])
+        total += length[at]
+    return 2 ** (-total / len(forest.feature) / forest.norm) <= forest.threshold
 
 
 def test_stages(spark):
@@ -15,6 +29,8 @@ def test_stages(spark):
 
     good = scratch.save(stages["quality_rules"](spark, docs, SF), "1")
     assert good.columns == columns and 0.8 * docs.count() < good.count() < docs.count()
+    forest = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert {r.doc_id for r in good.collect()} == {r.doc_id for r in docs.collect() if kept_by_walk(forest, r.text)}
 
     once = scratch.save(stages["near_duplicates"](spark, good, SF), "2")
     rows = [(r.doc_id, r.text) for r in good.collect()]
