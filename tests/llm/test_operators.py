@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veilframe.llm import jaccard, language, media, mixing, packing, pii, quality, queries, secrets, sstable, tokens, toxicity
+from veilframe.llm import jaccard, kneser, language, media, mixing, packing, pii, quality, queries, secrets, sstable, tokens, toxicity
 from veilframe.llm.common import Scratch, WORD
 
 from .fixtures import TEXTS, documents
@@ -537,6 +537,121 @@ def test_toxicity_without_both_classes(spark):
         assert len(got) == len(TEXTS) and {r.score for r in got} == {share}
 
 
+def test_toxicity_knows_order_and_spelling(spark, tmp_path):
+    """Both classes have the same words as often, in other orders; and some words of other stems. Judged are held-out texts."""
+    a, b = "one two three four five six", "six five four three two one"
+    rows = [(i, f"{(a, b)[i % 2]} {('mel', 'grox')[i % 2]}{'abcdefghij'[i // 2 % 10]}{'klmnopqrst'[i // 20 % 10]}") for i in range(400)]
+    free = [i for i in range(1000, 1100) if held_out(i)]
+    more = list(zip(free, [a, b, "groxyy zzz", "melyy zzz", "grxoyy zzz"]))
+    spark.createDataFrame(rows + more, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r.score for r in queries.queries()["op5_toxicity_models"](spark, str(tmp_path)).collect()}
+    order0, order1, stem1, stem0, turned = (got[i] for i, _ in more)
+    assert order1 > 0.6 > 0.4 > order0 and stem1 > stem0 and stem1 > turned
+
+
+def brute_spelling(classes):
+    """Log probabilities by spelling, by class: from the different words of each, by recursion."""
+    tables = []
+    for own in classes:
+        top = {}
+        for w in own:
+            x = b"\1\1\1\1" + w + b"\2"
+            for i in range(4, len(x)):
+                top[x[i - 3 : i + 1]] = top.get(x[i - 3 : i + 1], 0) + 1
+        levels = {4: top}
+        for k in (3, 2, 1):
+            levels[k] = {}
+            for g in levels[k + 1]:
+                levels[k][g[1:]] = levels[k].get(g[1:], 0) + 1
+        after = {}
+        for table in levels.values():
+            for g, n in table.items():
+                total, kinds = after.get(g[:-1], (0, 0)) if len(g) > 1 else after.get(b"", (0, 0))
+                after[g[:-1]] = total + n, kinds + 1
+        tables.append((levels, after))
+    lowest = {c: 0.5 + sum(levels[1].get(bytes([c]), 0) for levels, _ in tables) for c in range(256)}
+
+    def p(c, g):
+        if not g:
+            return None
+        low = p(c, g[1:]) if len(g) > 1 else lowest[g[0]] / sum(lowest.values())
+        levels, after = tables[c]
+        total, kinds = after.get(g[:-1], (0, 0))
+        return low if not total else max(levels[len(g)].get(g, 0) - 0.75, 0) / total + 0.75 * kinds / total * low
+
+    return lambda c, w: sum(np.log(p(c, (b"\1\1\1\1" + w + b"\2")[i - 3 : i + 1])) for i in range(4, len(w) + 5))
+
+
+def test_pair_models_equal_brute_force(spark, docs, texts):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    toxic = {r.doc_id: int(r.toxic > 0) for r in labels.collect()}
+    scratch = Scratch(spark, "t")
+    model = kneser.learn(docs, labels, scratch, head=50)
+    ws = {i: toxicity.tokens(t) for i, t in texts.items()}
+    pairs, before, words = ({}, {}), ({}, {}), (set(), set())
+    for i, c in toxic.items():
+        if not held_out(i):
+            for v, w in zip([b"", *ws[i]], ws[i]):
+                pairs[c][v, w] = pairs[c].get((v, w), 0) + 1
+                before[c].setdefault(w, set()).add(v)
+                words[c].add(w)
+
+    def off(counts):
+        y = [sum(x == k for x in counts) for k in (1, 2, 3, 4)]
+        share = y[0] / (y[0] + 2 * y[1])
+        return [0, *(min(max(k - (k + 1) * share * y[k] / y[k - 1], 0.05), k - 0.05) for k in (1, 2, 3))]
+
+    spelt, known, one, two, left, after = brute_spelling(words), len(words[0] | words[1]), [], [], [], []
+    for c in (0, 1):
+        n = {w: len(x) for w, x in before[c].items()}
+        d, total = off(n.values()), sum(n.values())
+        rest = sum(d[min(x, 3)] for x in n.values()) / total
+        one.append(lambda w, n=n, d=d, total=total, rest=rest, c=c: max(n.get(w, 0) - d[min(n.get(w, 0), 3)], 0) / total + rest * (0.25 / known + 0.75 * np.exp(spelt(c, w))))
+        left.append(rest)
+        two.append(off(pairs[c].values()))
+        sums = {}
+        for (v, _), x in pairs[c].items():
+            total, less = sums.get(v, (0, 0))
+            sums[v] = total + x, less + two[c][min(x, 3)]
+        after.append(sums)
+    alone = {}
+
+    def own(w):
+        if w not in alone:
+            p = [one[c](w) for c in (0, 1)]
+            unknown = w not in words[0] and w not in words[1]
+            alone[w] = (p, np.clip(np.log(left[1] / left[0]) + spelt(1, w) - spelt(0, w), -10, 10) if unknown else np.log(p[1] / p[0]))
+        return alone[w]
+
+    def gain(v, w):
+        p, g = own(w)
+        lead = [after[c][v][1] / after[c][v][0] if v in after[c] else 1.0 for c in (0, 1)]
+        if (v, w) not in pairs[0] and (v, w) not in pairs[1]:
+            return np.log(lead[1] / lead[0]) + g
+        q = [(pairs[c].get((v, w), 0) - two[c][min(pairs[c].get((v, w), 0), 3)]) / (after[c][v][0] if v in after[c] else 1) + lead[c] * p[c] for c in (0, 1)]
+        return np.log(q[1] / q[0])
+
+    b, some = model.slope, set(sorted(texts)[:400:2]) | {i for i in texts if held_out(i)}
+    for r in kneser.score(docs, model, scratch).collect():
+        if r.doc_id in some:
+            x = ws[r.doc_id]
+            g = np.array([own(w)[1] for w in x])
+            all_ = np.array([gain(v, w) for v, w in zip([b"", *x], x)])
+            z = b[0] + b[1] * all_.mean() + b[2] * np.sqrt(g[g > model.cut / 1e6].sum() / len(g)) if len(g) else 0
+            assert abs(r.score - (1 / (1 + np.exp(-z)) if len(g) else model.share)) < 1e-3 and r.held_out == held_out(r.doc_id)
+
+
+def test_pair_models_held_out(spark):
+    folder = "/root/testdata/sf0.1"
+    rows, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    scratch = Scratch(spark, "t")
+    got = kneser.score(rows, kneser.learn(rows, labels, scratch), scratch).where("held_out").join(labels, "doc_id").toPandas()
+    toxic, clean = got[got.toxic == 1].score.to_numpy(), got[got.toxic == 0].score.to_numpy()
+    assert (toxic[:, None] > clean[None, :]).mean() > 0.97
+    assert (toxic >= 0.5).mean() > 0.9 and (clean >= 0.5).mean() < 0.01
+
+
 # ---- media
 
 

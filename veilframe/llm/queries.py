@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, language, media, mixing, packing, pii, quality, secrets, sstable, toxicity
+from . import jaccard, kneser, language, media, mixing, packing, pii, quality, secrets, sstable
 from .common import Scratch, quoted, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,7 +62,7 @@ def op4_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_toxicity_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = read_table(spark, sf_dir, "documents"), Scratch(spark, "op5")
-    return toxicity.score(docs, toxicity.learn(docs, read_table(spark, sf_dir, "labels"), scratch), scratch)
+    return kneser.score(docs, kneser.learn(docs, read_table(spark, sf_dir, "labels"), scratch), scratch)
 
 
 def op6_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
