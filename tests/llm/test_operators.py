@@ -652,6 +652,43 @@ def test_pair_models_held_out(spark):
     assert (toxic >= 0.5).mean() > 0.9 and (clean >= 0.5).mean() < 0.01
 
 
+def test_pair_models_shuffle_little(spark):
+    """Bytes for each byte of text. Before, with rows of single words and pairs' words named by hashes alone, 4.3."""
+    folder, scratch = "/root/testdata/sf0.1", Scratch(spark, "t")
+    rows, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = written()
+    assert kneser.score(rows, kneser.learn(rows, labels, scratch), scratch).where("score IS NOT NULL").count() == rows.count()
+    assert written() - before < 3 * sum(len((r.text or "").encode()) for r in rows.select("text").collect())
+
+
+def test_pair_models_by_broadcast_or_shuffle(spark, docs, monkeypatch):
+    labels, scratch = spark.read.parquet(f"{SF}/labels.parquet"), Scratch(spark, "t")
+    scores = lambda: sorted((r.doc_id, r.score) for r in kneser.score(docs, kneser.learn(docs, labels, scratch), scratch).collect())
+    few = scores()
+    monkeypatch.setattr(kneser, "LABELS", 0)
+    assert scores() == few
+
+
+def test_pair_models_words_and_counts():
+    texts = ["A b, a-B é", None, "", " . ", "b", "é\xa0x a"]
+    words, at, before, of = kneser.places(texts)
+    assert [[words[k] for k in at[of == i]] for i in range(len(texts))] == [toxicity.tokens(t) for t in texts]
+    assert [words[k] for k in before] == [w for t in texts for w in [b"", *toxicity.tokens(t)][:-1]]
+    rng = np.random.default_rng(3)
+    small = [rng.integers(0, 4, 500) for _ in range(3)]
+    wide = [x << 40 for x in small]  # too wide for one number
+    assert [x.tolist() for x in kneser.tally(*small)] == [(x if k == 3 else x >> 40).tolist() for k, x in enumerate(kneser.tally(*wide))]
+    parts = [(rng.integers(0, 9, 200).astype(np.uint64), rng.integers(0, 9, 200).astype(np.uint64), rng.integers(0, 5, (4, 200))) for _ in range(3)]
+    at_once, stepwise = kneser.merged(parts), kneser.merged([kneser.merged(parts[:2]), parts[2]])
+    assert all((x == y).all() for x, y in zip(at_once, stepwise)) and at_once[2].sum() == sum(p[2].sum() for p in parts)
+    names = kneser.Names([b"often", b"more"], 7)
+    ids = names.ids([b"more", b"", b"rare", b"often"])
+    assert ids.tolist()[:2] == [2, 0] and ids[3] == 1 and ids[2] >= 1 << 63
+    assert names.group(ids).tolist() == (kneser.hashes([b"more", b"", b"rare", b"often"]) % 7).tolist()
+    assert kneser.short(ids).tolist() == [2, 0, int(ids[2]) % 2**40 + 2**40, 1]
+
+
 # ---- media
 
 

@@ -42,8 +42,13 @@ UNIT = 1_000_000
 CUTS = tuple(k * UNIT // 2 for k in range(1, 11))
 
 
+def blanked(text: str | None) -> bytes:
+    """Words and blanks (at least one) between them."""
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_BLANK)
+
+
 def tokens(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_BLANK).split()
+    return blanked(text).split()
 
 
 # ---- counts --------------------------------------------------------------------------------------------------------------
