@@ -12,6 +12,9 @@ from veilframe.llm import jaccard, mixing, packing, pii, quality
 from veilframe.llm.common import Scratch, read_table
 from veilframe.llm.queries import tokenizer_path
 
+#: Pre-tokens that a worker of the last stage remembers: executors come to it with what four stages have left in their memory.
+KEEP = 100_000
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
@@ -36,7 +39,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 2048 tokens."""
     scratch = Scratch(spark, "packing")
-    return packing.pack(scratch.save(packing.pieces(docs, tokenizer_path("word_bpe_49k.json"), end_id=0), "pieces"), scratch)
+    pieces = packing.pieces(docs, tokenizer_path("word_bpe_49k.json"), end_id=0, keep=KEEP)
+    return packing.pack(scratch.save(pieces, "pieces"), scratch)
 
 
 STAGES = [

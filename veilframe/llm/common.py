@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -17,7 +19,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 #: Most bytes of an Arrow batch between the JVM and a worker; rows here hold whole texts and sets.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -33,6 +35,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> DataFrame:
+    """A few rows of the driver's as a table. They go to the JVM as Arrow; rows as Python objects would go through workers of
+    their own, which stay with each executor beside those of the operators."""
+    columns = list(zip(*rows)) or [()] * len(schema)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema))
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -100,12 +109,23 @@ def spark_schema(schema: pa.Schema) -> str:
 _held: dict[str, object] = {}
 
 
+def give_back() -> None:
+    """Free memory of this process goes back to the system; glibc and Arrow keep it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def only(name: str, make):
     """What a worker keeps between tasks, made at first use. It keeps one thing at a time: a worker that goes on to another
-    operator's tasks lets go of the last one's memory."""
+    operator's tasks lets go of the last one's memory, and gives it back."""
     if name not in _held:
         _held.clear()
         _held[name] = make()
+        give_back()
     return _held[name]
 
 

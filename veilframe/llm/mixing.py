@@ -22,11 +22,11 @@ import math
 from functools import reduce
 from operator import and_
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import SPACES, WORD, Scratch
+from .common import SPACES, WORD, Scratch, small_table
 
 WEIGHTS = (5, 2, 1)
 CEILING = 3
@@ -135,10 +135,10 @@ def mix(measured: DataFrame, seed: int = 7, shard_rows: int = 4096, most_shards:
     sizes = {s: w for s, (w, _) in known.items()}
     shard_rows = max(shard_rows, -(-sum(n for _, n in known.values()) // most_shards))
     target = targets(sizes)
-    by_source = spark.createDataFrame(
-        [(s, -(-n // shard_rows), sizes[s], target[s]) for s, (_, n) in known.items()],
-        T.StructType([T.StructField("key", T.StringType()), T.StructField("shards", T.IntegerType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())]),
-    )
+    by_source = small_table(
+        spark, [(s, -(-n // shard_rows), sizes[s], target[s]) for s, (_, n) in known.items()],
+        pa.schema([("key", pa.string()), ("shards", pa.int32()), ("source_size", pa.int64()), ("target", pa.float64())]),
+    )
     # one row per source, as counted above: sources are few beside documents, and a larger list is joined by shuffle
     side = F.broadcast(by_source) if len(known) <= 10_000 else by_source
     placed = measured.join(side, F.col("source").eqNullSafe(F.col("key")), "left").drop("key")
@@ -152,7 +152,7 @@ def mix(measured: DataFrame, seed: int = 7, shard_rows: int = 4096, most_shards:
         by_name[r["source"]].append((r["shard"], r["words"]))
     quota = shard_quotas({s: sorted(own) for s, own in by_name.items()}, target, block, seed)
     numbers = ("full", "blocks", "order_a", "order_b", "whole", "rest")
-    quotas = spark.createDataFrame(quota, T.StructType([T.StructField("q_source", T.StringType()), T.StructField("q_shard", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in numbers)]))
+    quotas = small_table(spark, quota, pa.schema([("q_source", pa.string()), ("q_shard", pa.int32()), *((c, pa.int64()) for c in numbers)]))
     side = F.broadcast(quotas) if len(quota) <= 100_000 else quotas
     placed = placed.join(side, F.col("source").eqNullSafe(F.col("q_source")) & (F.col("shard") == F.col("q_shard")), "left").drop("q_source", "q_shard")
     order = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "print"), "doc_id", "print").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -36,11 +36,11 @@ INDEX_BITS = 24
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
-    """A row for each piece of a document."""
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, keep: int | None = None) -> DataFrame:
+    """A row for each piece of a document. ``keep``: pre-tokens that a worker remembers; it costs memory or time, and changes no row."""
 
     def run(batches):
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, keep).encode
         end = end_id.to_bytes(4, "little")
         for b in in_slices(batches):
             rows = []

@@ -19,10 +19,11 @@ from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ids_and_texts, quoted
+from .common import ids_and_texts, quoted, small_table
 
 BASE = ("email", "ip", "card", "phone")
 MORE = ("number", "written_email")
@@ -273,7 +274,8 @@ def train(spark: SparkSession, precision: float = 0.999, n: int = 3000) -> Trees
     """Grows the trees by half of the examples and calibrates each kind's threshold by the other half: the lowest margin above
     which the share of right ones is at least ``precision``. The features are those of the SQL expressions themselves."""
     made = examples(n)
-    found = spark.createDataFrame(made, "m string, b string, a string, label int").selectExpr("label", *(f"double({e}) AS {f}" for f, e in FEATURES.items())).collect()
+    schema = pa.schema([("m", pa.string()), ("b", pa.string()), ("a", pa.string()), ("label", pa.int32())])
+    found = small_table(spark, made, schema).selectExpr("label", *(f"double({e}) AS {f}" for f, e in FEATURES.items())).collect()
     return _grown(tuple(tuple(r)[1:] for r in found), tuple(r[0] for r in found), precision)
 
 
